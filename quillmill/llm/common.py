@@ -68,3 +68,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, bound: int, seed: int = 11) -> DataFrame:
+    """At most bound rows of documents with a 0/1 label, as columns of documents and "y".
+
+    The labels of least hash are taken, whatever their order; null and other values don't
+    count. The sample has bound rows at most, so broadcasting it is safe at any size.
+    """
+    marks = table(spark, sf_dir, "labels").where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    sample = marks.select("doc_id", F.col(label).cast("double").alias("y")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "y").limit(bound)
+    return table(spark, sf_dir, "documents").where("text is not null").join(F.broadcast(sample), "doc_id")

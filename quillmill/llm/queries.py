@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import near_dedup
+import corpus_pipeline
+from quillmill.llm import mixing, near_dedup, packing, quality_fm, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": quality_fm.query,
     "op2_near_dedup": near_dedup.query,
+    "op6_toxicity": toxicity.query,
+    "op7_mix_sources": mixing.query,
+    "op8_shard": sharding.query,
+    "op9_pack": packing.query,
+    "op10_quality_rules": quality_rules.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mix_sources": mixing.SQL}
