@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillmill.llm import mixing, near_dedup, packing, quality_fm, quality_rules, sharding, toxicity
+from quillmill.llm import ann, chat, html_cut, mixing, near_dedup, packing, quality_fm, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": quality_fm.query,
     "op2_near_dedup": near_dedup.query,
+    "op3_chat_windows": chat.query,
+    "op4_html_min_cut": html_cut.query,
+    "op5_nearest_neighbours": ann.query,
     "op6_toxicity": toxicity.query,
     "op7_mix_sources": mixing.query,
     "op8_shard": sharding.query,
