@@ -14,9 +14,10 @@ much as one.
 2. Bands of ROWS slots become bucket keys. Each member of a bucket is paired with its least.
 3. Verification: the exact Jaccard similarity of the sets of whole texts.
 4. Union-find within partitions of the edge table, then star contractions between them.
-5. Where a bucket then still holds several components, every pair across them is verified as
-   well, and those edges are added. Hence the groups are exactly the components of all
-   candidate pairs that pass, without ever comparing pairs already known to be connected.
+5. Where a bucket then still holds several components, every pair across them is compared by
+   signature, in place, and those that come within MARGIN of the threshold are verified as well.
+   Hence the groups are the components of all candidate pairs that pass, and neither pairs
+   known to be connected nor texts that merely share a passage move through a shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ from quillmill.llm.bytekernel import _U, Slice, grams, mix, slices, words
 from quillmill.llm.common import free_name, stash, table
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
+#: How far below the threshold a signature's estimate must be for step 5 to leave a pair: over
+#: three and a half standard deviations, so it leaves a true pair once in 5,000 at worst.
+MARGIN = 0.15
+#: The most ids (8 bytes each) that are sent to every executor.
+SEND_IDS = 2_000_000
 
 
 def superminhash(elem: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -82,9 +88,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices(b.column("text")):
             elem, doc = shingles(s)
-            both = np.unique((doc.astype(np.uint64) << _U(44)) | (elem >> _U(20)))
-            off = np.searchsorted(both, np.arange(s.n + 1, dtype=np.uint64) << _U(44))
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((both & _U((1 << 44) - 1)).astype(np.int64)))
+            both = np.unique((doc.astype(np.uint64) << _U(32)) | (elem >> _U(32)))
+            off = np.searchsorted(both, np.arange(s.n + 1, dtype=np.uint64) << _U(32))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(both.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("id").slice(s.first, s.n), lists], ["id", "shingles"])
 
 
@@ -102,16 +108,63 @@ def buckets(texts: DataFrame) -> DataFrame:
     return rows.withColumns({"least": F.min("id").over(w), "most": F.max("id").over(w)}).where("least < most").select("band", "id", "least")
 
 
+def _among(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """texts semi- or anti-joined with a table of ids: texts stay where they are while the ids
+    are few enough to send everywhere, else both sides move by id."""
+    return texts.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, ids.columns[0], how)
+
+
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) whose texts reach the threshold; only texts in some pair are read out."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # One text of each id: identical ids are identical texts.
-    sets = stash(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+    sets = stash(_among(texts, wanted, "left_semi").mapInArrow(_sets, "id long, shingles array<int>").dropDuplicates(["id"]))
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each slot of the signature."""
+    for b in batches:
+        for s in slices(b.column("text")):
+            elem, doc = shingles(s)
+            sig = (mix(superminhash(elem, doc, s.n, BANDS * ROWS).view(np.uint64)) & _U(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(s.first, s.n), pa.array([row.tobytes() for row in sig], pa.binary())], ["id", "sketch"])
+
+
+def _across(need: int):
+    """Pairs of a bucket in different components whose sketches agree in at least need slots.
+
+    Takes rows sorted by band; holds one bucket at a time, and a block of its pairs.
+    """
+
+    def pairs(ids: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(ids), 32):
+            for j in range(0, len(ids), 2048):
+                same = (sketch[i : i + 32, None] == sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int16)
+                a, b = np.nonzero((same >= need) & (root[i : i + 32, None] != root[None, j : j + 2048]) & (ids[i : i + 32, None] < ids[None, j : j + 2048]))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(ids[j + b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] = ()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            now = tuple(batch.column(i).to_numpy() for i in range(3)) + (sketch,)
+            now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True)) if rest else now
+            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                yield from pairs(*(c[x:y] for c in now[1:]))
+            rest = tuple(c[starts[-1] :] for c in now)
+        if rest:
+            yield from pairs(*rest[1:])
+
+    return run
+
+
 def _find(parent: dict[int, int], x: int) -> int:
     while (p := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(p, p)
@@ -159,16 +212,19 @@ def components(edges: DataFrame) -> DataFrame:
 def roots(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, root of all texts (id, text) that are in a group, but for the root itself."""
     shared = stash(buckets(texts))
-    star = stash(shared.select(F.col("id").alias("b"), F.col("least").alias("a")).where("a < b").distinct())
+    # A single edge for each text first: most of a group hangs together by these.
+    star = stash(shared.groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).where("a < b"))
     edges = stash(verified(texts, star, threshold))
     first = components(edges)
     member = shared.select("band", "id").distinct().join(first, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     w = Window.partitionBy("band")
-    split = member.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").select("band", "id", "root")
-    split = stash(split)
-    l, r = split.alias("l"), split.alias("r")
-    cross = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")))
-    rest = stash(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    split = stash(member.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").select("band", "id", "root"))
+    ids = stash(split.select("id").distinct())
+    sketches = stash(_among(texts, ids, "left_semi").mapInArrow(_sketches, "id long, sketch binary").dropDuplicates(["id"]))
+    rows = split.join(sketches, "id").select("band", "id", "root", "sketch").repartition("band").sortWithinPartitions("band")
+    need = int((threshold - MARGIN) * BANDS * ROWS)
+    cross = rows.mapInArrow(_across(need), "a long, b long").distinct()
+    rest = stash(cross.join(star, ["a", "b"], "left_anti"))
     more = stash(verified(texts, rest, threshold))
     return components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)) if more.head(1) else first
 
@@ -197,8 +253,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that groups() keeps, all columns as they came.
 
-    Texts move once, by id: rows of an id that isn't the first of its group fall in an anti
-    join, and of the rows of one id only the first stays. Cases as in groups().
+    Rows of an id that isn't the first of its group fall in an anti join, and of identical
+    texts the first row stays; only those move. Cases as in groups().
     """
     some = docs.where("text is not null")
     rows = some.select("doc_id", text_id("text").alias("id"))
@@ -209,10 +265,13 @@ def drop_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     losing = first.withColumn("nth", F.row_number().over(w)).where("nth > 1").select("id")
     name, nth = free_name(docs, "text_id"), free_name(docs, "nth")
     losing = stash(losing.withColumnRenamed("id", name))
-    keyed = some.withColumn(name, text_id("text")).join(losing, name, "left_anti")
-    order = [F.col("doc_id").asc_nulls_last()]
-    kept = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy(*order))).where(F.col(nth) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("text is null"))
+    copied = stash(rows.groupBy(F.col("id").alias(name)).count().where("count > 1").select(name).join(losing, name, "left_anti"))
+    keyed = some.withColumn(name, text_id("text"))
+    plain = _among(keyed, stash(losing.union(copied)), "left_anti")
+    order = Window.partitionBy(name).orderBy(F.col("doc_id").asc_nulls_last())
+    firsts = _among(keyed, copied, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    kept = plain.select(*docs.columns).unionByName(firsts.select(*docs.columns))
+    return kept.unionByName(docs.where("text is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
