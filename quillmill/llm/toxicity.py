@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.boosting import Trees, constant, fit, isotonic, sigmoid, step
 from quillmill.llm.bytekernel import _U, DIGIT, HIGH, LOWER, UPPER, WORD, Slice, Words, _class, mix, row_sums, runs, slices, span_hash, word_hash, words
-from quillmill.llm.common import free_name, labelled, table
+from quillmill.llm.common import free_name, labelled, stash, table
 from quillmill.llm.quality_rules import apply
 
 TRAIN_ROWS, HELD_OUT, REJECT = 20_000, 0.25, 0.5
@@ -49,37 +49,32 @@ def forms(s: Slice, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct hashes of the words and beginnings of each text."""
-    for b in batches:
-        for s in slices(b.column("text")):
+    """For each hash of a word or beginning, how many toxic and clean texts of the partition have it."""
+    h, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for batch in batches:
+        y = batch.column("y").to_numpy()
+        for s in slices(batch.column("text")):
             w = words(s)
-            h4 = forms(s, w)[:3]
-            h, doc = np.concatenate(h4), np.tile(w.doc, 3)
-            doc, h = doc[h != 0], h[h != 0]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-            doc, h = doc[new], h[new]
-            off = np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32)
-            cols = [b.column(c).slice(s.first, s.n) for c in ("y", "held", "text")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))], ["y", "held", "text", "seen"])
-
-
-def lexicon(y: np.ndarray, off: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their log ratios."""
-    toxic, clean = y.sum(), len(y) - y.sum()
-    if not toxic or not clean:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    h, at = np.unique(seen, return_inverse=True)
-    a = np.bincount(at, np.repeat(y, np.diff(off)), len(h))
-    b = np.bincount(at, minlength=len(h)) - a
-    ratio = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+            seen = np.concatenate(forms(s, w)[:3])
+            doc = np.tile(w.doc, 3)[seen != 0]
+            seen = seen[seen != 0]
+            order = np.lexsort((seen, doc))
+            doc, seen = doc[order], seen[order]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (seen[1:] != seen[:-1])][: len(seen)]
+            mark = y[s.first + doc[new]]
+            h, at = np.unique(np.concatenate([h, seen[new]]), return_inverse=True)
+            a, b = (np.bincount(at, np.concatenate([c, m]), len(h)) for c, m in ((a, mark), (b, 1 - mark)))
+    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(b)], ["h", "a", "b"])
+
+
+def lexicon(counts: DataFrame, toxic: float, clean: float) -> DataFrame:
+    """h, ratio of the entries among counts (h, a, b: toxic and clean texts with it)."""
+    a, b = F.col("a"), F.col("b")
+    ratio = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
     share = toxic / (toxic + clean)
-    term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1) / e), 0)
-    n = a + b
-    g = 2 * (term(a, n * share) + term(b, n * (1 - share)))
-    pick = (g >= G_LEAST) & (ratio >= RATIO_LEAST)
-    return h[pick], ratio[pick]
+    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    g = 2 * (term(a, (a + b) * share) + term(b, (a + b) * (1 - share)))
+    return counts.where((g >= G_LEAST) & (ratio >= RATIO_LEAST)).select("h", ratio.alias("ratio"))
 
 
 @dataclass
@@ -133,19 +128,36 @@ _YOU_HASHES = np.array([word_hash(x) for x in YOU], np.uint64)
 
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
-    """Without labels of both kinds, a model that calls nothing toxic."""
+    """Without labels of both kinds, a model that calls nothing toxic.
+
+    Texts and word counts stay with the executors; the lexicon and a row of features for each
+    text come to the driver.
+    """
     sample = labelled(spark, sf_dir, "toxic", rows).select("y", "text").dropDuplicates(["text"])
-    sample = sample.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1000)) < int(1000 * HELD_OUT))
-    got = sample.mapInArrow(_seen, "y double, held boolean, text string, seen array<long>").toArrow().sort_by("text")
+    sample = stash(sample.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1000)) < int(1000 * HELD_OUT)))
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), constant(0.0), np.zeros(0), np.zeros(0))
+    learn = sample.where("not held")
+    toxic, clean = learn.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
+    if not toxic or not clean:
+        return nothing
+    counts = learn.mapInArrow(_seen, "h long, a double, b double").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = lexicon(counts, toxic, clean).toArrow()
+    hashes, ratios = found.column("h").to_numpy().view(np.uint64), found.column("ratio").to_numpy()
+    order = np.argsort(hashes)
+    model = Model(hashes[order], ratios[order], constant(0.0), np.zeros(0), np.zeros(0))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column("text")):
+                x = model.features(s)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s.first, s.n) for c in ("y", "held")), lists], ["y", "held", "x"])
+
+    got = sample.mapInArrow(dense, "y double, held boolean, x array<float>").toArrow()
     y, held = got.column("y").to_numpy(), np.asarray(got.column("held").to_numpy(zero_copy_only=False), bool)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), constant(0.0), np.zeros(0), np.zeros(0))
-    lists = got.column("seen").combine_chunks()
-    off, seen = np.asarray(lists.offsets).astype(np.int64), lists.values.to_numpy().view(np.uint64)
-    use = np.repeat(~held, np.diff(off))
-    part = np.diff(off)[~held]
-    model = Model(*lexicon(y[~held], np.r_[0, np.cumsum(part)], seen[use]), constant(0.0), np.zeros(0), np.zeros(0))
-    x = np.concatenate([model.features(s) for s in slices(got.column("text"))])
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    order = np.lexsort(np.vstack([x.T, y]))  # rows come in any order; the model doesn't follow it
+    y, held, x = y[order], held[order], x[order]
     model.trees = fit(x[~held], y[~held], trees=60, depth=3, least=1.0)
     if held.any() and y[held].any():
         model.knots, model.values = isotonic(sigmoid(model.trees.margin(x[held])), y[held])
