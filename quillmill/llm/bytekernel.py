@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _R, _U = np.uint64(0x9E3779B97F4A7C15), np.uint64
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

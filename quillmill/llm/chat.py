@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import table
+from quillmill.llm.common import bound_batches, table
 
 BUDGET, HISTORY = 1024, 256
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -114,7 +114,7 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     if budget < 2 or history < 0:
         raise ValueError("the budget must hold a token of head and body each")
     t = F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text")
-    convs = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(t)).alias("turns"))
+    convs = bound_batches(turns).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(t)).alias("turns"))
     convs = convs.select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     schema = "conv_id long, window int, history_turn int, first_turn int, end_turn int, input_ids array<int>, target_starts array<int>, target_lengths array<int>"
     return convs.mapInArrow(_format(tokenizer, budget, history), schema)

@@ -56,6 +56,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's batches to Python bounded by rows and bytes where the session doesn't say.
+
+    Spark's own bound is 10 000 rows of whatever length, held several times over on both sides.
+    """
+    for k, v in BATCH.items():
+        if df.sparkSession.conf.get(k, None) is None:
+            df.sparkSession.conf.set(k, v)
+    return df
+
+
 def fraction(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) fixed by seed and the columns' values."""
     h = F.xxhash64(F.lit(seed), *cols)
@@ -77,5 +91,15 @@ def labelled(spark: SparkSession, sf_dir: str, label: str, bound: int, seed: int
     count. The sample has bound rows at most, so broadcasting it is safe at any size.
     """
     marks = table(spark, sf_dir, "labels").where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = marks.select("doc_id", F.col(label).cast("double").alias("y")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "y").limit(bound)
-    return table(spark, sf_dir, "documents").where("text is not null").join(F.broadcast(sample), "doc_id")
+    least = least_hashed(marks.select("doc_id", F.col(label).cast("double").alias("y")), bound, marks.count(), seed, "doc_id", "y")
+    return table(spark, sf_dir, "documents").where("text is not null").join(F.broadcast(least), "doc_id")
+
+
+def least_hashed(rows: DataFrame, bound: int, count: int, seed: int, *cols: str) -> DataFrame:
+    """The bound rows of count (or some more) with the least hash of cols, in its order.
+
+    Rows above a share of the hash's range that leaves bound rows with certainty in practice
+    fall in place, so what meets in one task doesn't grow with the table.
+    """
+    share = min(1.0, (bound + 8 * bound**0.5 + 8) / max(count, 1))
+    return rows.where(fraction(*cols, seed=seed) < share).orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11), *cols).limit(bound)

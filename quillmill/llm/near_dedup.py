@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.bytekernel import _U, Slice, grams, mix, slices, words
-from quillmill.llm.common import free_name, stash, table
+from quillmill.llm.common import bound_batches, free_name, stash, table
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 #: How far below the threshold a signature's estimate must be for step 5 to leave a pair: over
@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def roots(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, root of all texts (id, text) that are in a group, but for the root itself."""
-    shared = stash(buckets(texts))
+    shared = stash(buckets(bound_batches(texts)))
     # A single edge for each text first: most of a group hangs together by these.
     star = stash(shared.groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).where("a < b"))
     edges = stash(verified(texts, star, threshold))

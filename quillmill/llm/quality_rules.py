@@ -13,11 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmill.llm.boosting import Trees, constant, fit, sigmoid
 from quillmill.llm.bytekernel import slices, words
-from quillmill.llm.common import free_name, labelled, table
+from quillmill.llm.common import bound_batches, free_name, labelled, table
 from quillmill.llm.docstats import LOWERS, NAMES, structure
 
 TRAIN_ROWS, KEEP = 20_000, 0.5
@@ -33,44 +32,39 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Trees:
     """Without labels of both kinds, a model that keeps everything."""
-    got = labelled(spark, sf_dir, "quality", rows).select("text", "y").mapInArrow(_features, "y double, x array<float>").toArrow()
+    got = bound_batches(labelled(spark, sf_dir, "quality", rows).select("text", "y")).mapInArrow(_features, "y double, x array<float>").toArrow()
     y = got.column("y").to_numpy()
     x = got.column("x").combine_chunks().values.to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, len(NAMES)), np.float32)
     order = np.lexsort(np.vstack([x.T, y]))  # rows come in any order; the model doesn't follow it
     return fit(x[order], y[order], trees=100, depth=4, signs=np.array([-(n in LOWERS) for n in NAMES])) if len(set(y)) > 1 else constant(1.0)
 
 
-def scorer(score: Callable[[pa.RecordBatch], Iterator[np.ndarray]], text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that appends a score, null for a null text at column text, to every column as it came."""
+def scored(docs: DataFrame, name: str, columns: list[str], score: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
+    """docs with name, what score yields for the Arrow arrays of the columns, the first of them the text; null for a null text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.concatenate([np.zeros(0), *score(b)])
-            null = np.asarray(b.column(text).is_null())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64(), mask=null)], [f"c{i}" for i in range(b.num_columns + 1)])
-
-    return run
+    Only those columns go to Python, and only the score comes back.
+    """
 
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            found = np.concatenate([np.zeros(0), *score(*arrays)])
+            yield pa.array(found, pa.float64(), mask=np.asarray(arrays[0].is_null()))
 
-def apply(docs: DataFrame, score: Callable[[pa.RecordBatch], Iterator[np.ndarray]], name: str, only: list[str] | None = None, need: tuple[str, ...] = ("text",)) -> DataFrame:
-    """docs, or its columns only, with the score as a further column of that name."""
-    out = docs.columns if only is None else only
-    at = out + [c for c in need if c not in out]
-    # Positions, not names, cross to Python: no name can clash there.
-    plain = docs.select(*at).toDF(*[f"c{i}" for i in range(len(at))])
-    schema = T.StructType([*plain.schema.fields, T.StructField(f"c{len(at)}", T.DoubleType())])
-    done = plain.mapInArrow(scorer(score, at.index("text")), schema).toDF(*at, name)
-    return done.select(*out, name)
+    @F.arrow_udf("double")
+    def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run.func((a,) for a in batches)
 
+    call = run_one if len(columns) == 1 else run
+    return bound_batches(docs).withColumn(name, call(*[F.col(c) for c in columns]))
 
-def scores(docs: DataFrame, model: Trees, only: list[str] | None = None, name: str = "quality_score") -> DataFrame:
-    text = (only or docs.columns).index("text") if "text" in (only or docs.columns) else len(only)
 
-    def score(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for s in slices(b.column(text)):
+def scores(docs: DataFrame, model: Trees, name: str = "quality_score") -> DataFrame:
+    def score(text: pa.Array) -> Iterator[np.ndarray]:
+        for s in slices(text):
             yield sigmoid(model.margin(structure(s, words(s))))
 
-    return apply(docs, score, name, only)
+    return scored(docs, name, ["text"], score)
 
 
 def judge(docs: DataFrame, model: Trees, keep: float = KEEP) -> DataFrame:
@@ -80,7 +74,7 @@ def judge(docs: DataFrame, model: Trees, keep: float = KEEP) -> DataFrame:
     one without words; repeated rows get equal scores; an empty table gives an empty result;
     nulls in other columns and further columns of any name change nothing.
     """
-    return scores(docs, model, ["doc_id"]).withColumn("keep", F.coalesce(F.col("quality_score") >= keep, F.lit(False)))
+    return scores(docs.select("doc_id", "text"), model).drop("text").withColumn("keep", F.coalesce(F.col("quality_score") >= keep, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, model: Trees, keep: float = KEEP) -> DataFrame:

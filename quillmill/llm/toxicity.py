@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.boosting import Trees, constant, fit, isotonic, sigmoid, step
 from quillmill.llm.bytekernel import _U, DIGIT, HIGH, LOWER, UPPER, WORD, Slice, Words, _class, mix, row_sums, runs, slices, span_hash, word_hash, words
-from quillmill.llm.common import free_name, labelled, stash, table
-from quillmill.llm.quality_rules import apply
+from quillmill.llm.common import bound_batches, free_name, labelled, stash, table
+from quillmill.llm.quality_rules import scored
 
 TRAIN_ROWS, HELD_OUT, REJECT = 20_000, 0.25, 0.5
 #: A lexicon entry's least G statistic and log ratio of rates.
@@ -96,6 +96,7 @@ class Model:
         plain, four, five, folded = forms(s, w)
         exact, hidden = self.weight(plain), self.weight(folded)
         begun = np.maximum(self.weight(four), self.weight(five))
+        # A word counts once, however it is found, so disguises unseen in training weigh the same.
         any_ = np.maximum(np.maximum(exact, hidden), begun)
         hit = any_ > 0
         n = np.maximum(np.diff(w.off), 1)
@@ -115,7 +116,7 @@ class Model:
         doubled[1:] = bang[1:] & bang[:-1]
         single = (w.end - w.start) == 1
         return np.column_stack([
-            rate(exact > 0), rate(hidden > exact), rate(begun > 0), rate(hit), rate(any_), row_sums(any_, w.off), row_sums(hit.astype(np.int64), w.off), rate(near), rate(single),
+            row_sums(hit.astype(np.int64), w.off), rate(hit), row_sums(any_, w.off), rate(any_), rate(hidden > exact), rate(near), rate(single),
             row_sums(upper.astype(np.int64), s.raw_off) / np.maximum(row_sums((upper | lower).astype(np.int64), s.raw_off), 1),
             share(bang), share(doubled), share(mark), share(inside), np.log1p(np.diff(w.off)),
         ]).astype(np.float32)
@@ -133,7 +134,7 @@ def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
     Texts and word counts stay with the executors; the lexicon and a row of features for each
     text come to the driver.
     """
-    sample = labelled(spark, sf_dir, "toxic", rows).select("y", "text").dropDuplicates(["text"])
+    sample = bound_batches(labelled(spark, sf_dir, "toxic", rows)).select("y", "text").dropDuplicates(["text"])
     sample = stash(sample.withColumn("held", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1000)) < int(1000 * HELD_OUT)))
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), constant(0.0), np.zeros(0), np.zeros(0))
     learn = sample.where("not held")
@@ -164,15 +165,12 @@ def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def scores(docs: DataFrame, model: Model, only: list[str] | None = None, name: str = "toxicity") -> DataFrame:
-    cols = docs.columns if only is None else only
-    text = cols.index("text") if "text" in cols else len(cols)
-
-    def score(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for s in slices(b.column(text)):
+def scores(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    def score(text: pa.Array) -> Iterator[np.ndarray]:
+        for s in slices(text):
             yield model.probability(s)
 
-    return apply(docs, score, name, only)
+    return scored(docs, name, ["text"], score)
 
 
 def judge(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
@@ -182,7 +180,7 @@ def judge(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     scored as one without words; repeated rows get equal results; an empty table gives an empty
     result; nulls in other columns and further columns of any name change nothing.
     """
-    return scores(docs, model, ["doc_id"]).withColumn("toxic", F.coalesce(F.col("toxicity") >= reject, F.lit(False)))
+    return scores(docs.select("doc_id", "text"), model).drop("text").withColumn("toxic", F.coalesce(F.col("toxicity") >= reject, F.lit(False)))
 
 
 def drop_toxic(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
