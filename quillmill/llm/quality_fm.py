@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.boosting import sigmoid
 from quillmill.llm.bytekernel import _U, Slice, mix, slices, span_hash, words
-from quillmill.llm.common import free_name, labelled, table
+from quillmill.llm.common import bound_batches, free_name, labelled, table
 from quillmill.llm.docstats import NAMES, structure
-from quillmill.llm.quality_rules import apply
+from quillmill.llm.quality_rules import scored
 
 TRAIN_ROWS, KEEP = 20_000, 0.5
 WORD_BITS, META_BITS, LEVELS, RANK = 16, 10, 8, 8
-EPOCHS, BATCH, RATE, L2 = 6, 256, 0.1, 1e-5
+EPOCHS, BATCH, RATE, L2 = 10, 256, 0.1, 1e-3
 _STATS = 1 << WORD_BITS
 _META = _STATS + LEVELS * len(NAMES)
 DIM = _META + (1 << META_BITS)
@@ -127,7 +127,7 @@ def fit(y: np.ndarray, stats: np.ndarray, off: np.ndarray, slots: np.ndarray, me
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Machine:
     """Without labels of both kinds, a machine that keeps everything."""
-    sample = labelled(spark, sf_dir, "quality", rows).select("text", "lang", "source", "y")
+    sample = bound_batches(labelled(spark, sf_dir, "quality", rows)).select("text", "lang", "source", "y")
     got = sample.mapInArrow(_features, "y double, stats array<float>, slots array<int>, meta array<long>").toArrow()
     y = got.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
@@ -142,19 +142,14 @@ def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Machine:
     return fit(y[order], stats[order], new, slots[at], meta[order])
 
 
-def scores(docs: DataFrame, machine: Machine, only: list[str] | None = None, name: str = "quality_score") -> DataFrame:
-    need = ("text", "lang", "source")
-    cols = docs.columns if only is None else only
-    cols = cols + [c for c in need if c not in cols]
-    text, lang, source = (cols.index(c) for c in need)
-
-    def score(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for s in slices(b.column(text)):
+def scores(docs: DataFrame, machine: Machine, name: str = "quality_score") -> DataFrame:
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> Iterator[np.ndarray]:
+        for s in slices(text):
             stats, off, slots = word_slots(s)
-            meta = meta_slots(b.column(lang).slice(s.first, s.n), b.column(source).slice(s.first, s.n))
+            meta = meta_slots(lang.slice(s.first, s.n), source.slice(s.first, s.n))
             yield sigmoid(machine.margin(*machine.rows(stats, off, slots, meta)))
 
-    return apply(docs, score, name, only, need)
+    return scored(docs, name, ["text", "lang", "source"], score)
 
 
 def judge(docs: DataFrame, machine: Machine, keep: float = KEEP) -> DataFrame:
@@ -165,7 +160,7 @@ def judge(docs: DataFrame, machine: Machine, keep: float = KEEP) -> DataFrame:
     repeated rows get equal scores; an empty table gives an empty result; further columns of
     any name change nothing.
     """
-    return scores(docs, machine, ["doc_id"]).withColumn("keep", F.coalesce(F.col("quality_score") >= keep, F.lit(False)))
+    return scores(docs.select("doc_id", "text", "lang", "source"), machine).drop("text", "lang", "source").withColumn("keep", F.coalesce(F.col("quality_score") >= keep, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, machine: Machine, keep: float = KEEP) -> DataFrame:
