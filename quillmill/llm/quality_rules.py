@@ -36,7 +36,7 @@ def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Trees:
     y = got.column("y").to_numpy()
     x = got.column("x").combine_chunks().values.to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, len(NAMES)), np.float32)
     order = np.lexsort(np.vstack([x.T, y]))  # rows come in any order; the model doesn't follow it
-    return fit(x[order], y[order], trees=100, depth=4, signs=np.array([-(n in LOWERS) for n in NAMES])) if len(set(y)) > 1 else constant(1.0)
+    return fit(x[order], y[order], trees=100, depth=4, least=1.0, signs=np.array([-(n in LOWERS) for n in NAMES])) if len(set(y)) > 1 else constant(1.0)
 
 
 def scored(docs: DataFrame, name: str, columns: list[str], score: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
