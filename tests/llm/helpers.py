@@ -1,0 +1,39 @@
+"""Rows that every operator must get through: nulls, empty and long texts, ties, repeats, clashing names."""
+
+from __future__ import annotations
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 60_000
+ODD = [
+    (1, "A plain line of text.\nAnd another one, of more words than that.", "en", "a", 10),
+    (1, "A plain line of text.\nAnd another one, of more words than that.", "en", "a", 10),
+    (2, None, "en", "a", None),
+    (2, None, None, None, None),
+    (None, "text without an id, but with words enough to count", None, "b", 3),
+    (3, "", "en", None, 0),
+    (4, "", "de", "b", 0),
+    (5, " \n\t ", "de", "b", 3),
+    (6, LONG, "en", "a", len(LONG)),
+    (7, "!!! ??? ***", None, "a", 11),
+    (8, "Ünïcödé — größer, ñandú, 漢字 \U0001f600", "xx", "c", 5),
+]
+
+
+def odd(spark, clash: tuple[str, ...] = ()):
+    """The rows, with extra columns of the names given (and of names that engines like to use)."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(ODD, DOCS)
+    for name in clash:
+        df = df.withColumn(name, F.lit("mine"))
+    return df
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def write(df, folder, name):
+    """df as table name of a data folder."""
+    df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
