@@ -188,8 +188,8 @@ _N = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 def structure_sql(x: str) -> str:
     fences, meta = _N(x, "(?m)^```"), _N(x, J.META_HEADERS.replace("(?imd)", "(?im)"))
     return (
-        f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, 8.0::DOUBLE + CASE WHEN regexp_matches({x}, '(?m)^#{{1,4}}\\s+\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches({x}, '(?m)^\\|[\\s:]*[-:]{{3,}}[\\s:]*\\|') THEN 1 ELSE 0 END"
-        f" - CASE WHEN {_N(x, '(?i)\\bpage\\s+\\d+\\s+of\\s+\\d+\\b')} > 1 THEN 2 ELSE 0 END - CASE WHEN length({x}) > 500 AND NOT regexp_matches({x}, '(?m)^##\\s+') THEN 1 ELSE 0 END"
+        f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, 8.0::DOUBLE + CASE WHEN regexp_matches({x}, '(?m)^#{{1,4}}\\s+\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches({x}, '(?m)^[|][:\\s]*[:-]{{3,}}[:\\s]*[|]') THEN 1 ELSE 0 END"
+        f" - CASE WHEN {_N(x, '(?i)\\bpage\\s+[0-9]+\\s+of\\s+[0-9]+\\b')} > 1 THEN 2 ELSE 0 END - CASE WHEN length({x}) > 500 AND NOT regexp_matches({x}, '(?m)^##\\s+') THEN 1 ELSE 0 END"
         f" - CASE WHEN {fences} > 2 THEN least(3.0::DOUBLE, ({fences} - 2) * 0.5::DOUBLE) ELSE 0 END - least(2.0::DOUBLE, {meta} * 0.5::DOUBLE)))"
     )
 
@@ -203,7 +203,7 @@ def structure_score(spark, d):
 
 
 _W = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in J.WEIGHTS.items()) + " END"
-_FOUND = f"least(want, CASE WHEN label = 'table' THEN {_N('m', '(?m)^\\|[\\s:]*[-:]{3,}[\\s:]*\\|')} WHEN label = 'formula' THEN {_N('m', J.FORMULA)} WHEN label = 'picture' THEN {_N('m', '!\\[')} WHEN label IN ('section_header', 'title') THEN {_N('m', '(?m)^#{1,4}\\s+\\S')} WHEN length({strip_sql('m')}) > 20 THEN want ELSE 0 END)"
+_FOUND = f"least(want, CASE WHEN label = 'table' THEN {_N('m', '(?m)^[|][:\\s]*[:-]{3,}[:\\s]*[|]')} WHEN label = 'formula' THEN {_N('m', J.FORMULA)} WHEN label = 'picture' THEN {_N('m', '!\\[')} WHEN label IN ('section_header', 'title') THEN {_N('m', '(?m)^#{1,4}\\s+\\S')} WHEN length({strip_sql('m')}) > 20 THEN want ELSE 0 END)"
 COV = f"cov AS (SELECT doc_id, round(sum({_W} * {_FOUND}) / sum({_W} * want), 3) AS coverage FROM (SELECT doc_id, label, count(*) AS want FROM el WHERE label IN ({', '.join(repr(k) for k in J.WEIGHTS)}) GROUP BY ALL) JOIN md USING (doc_id) GROUP BY doc_id)"
 
 
@@ -254,7 +254,7 @@ def round_aggregate(spark, d):
 
 _DM = f"""WITH {MD}, {L2}, raw AS (SELECT source, list_distinct(flatten(list({words_sql('text')}))) AS r, round(avg({_SCORE}), 1) AS judge_score, round(count(*) FILTER ({_SCORE} >= 8) / count(*)::DOUBLE, 2) AS coverage_rate FROM l2 GROUP BY source),
 one AS (SELECT source, arg_min(m, doc_id) AS m FROM md GROUP BY source)
-SELECT source, judge_score, coverage_rate, round(len(list_intersect(r, {words_sql('m')})) / len(r)::DOUBLE, 2) AS completeness, {_N('m', '(?m)^#{1,6}\\s+\\S')} AS heading_count, {_N('m', '(?m)^\\|[\\s:]*[-:]+[\\s:]*\\|')} AS table_count, true AS judged FROM raw JOIN one USING (source)"""
+SELECT source, judge_score, coverage_rate, round(len(list_intersect(r, {words_sql('m')})) / len(r)::DOUBLE, 2) AS completeness, {_N('m', '(?m)^#{1,6}\\s+\\S')} AS heading_count, {_N('m', '(?m)^[|][:\\s]*[:-]+[:\\s]*[|]')} AS table_count, true AS judged FROM raw JOIN one USING (source)"""
 
 
 def metrics(spark, d):

@@ -114,7 +114,7 @@ _FOOT = "*Public domain.*"
 
 @query("build_markdown", f"""SELECT p_partkey, '---'||chr(10)||'title: '||p_name||chr(10)||'icd_code: Unknown'||chr(10)||'specialty: Cardio'||chr(10)||'volume: 1'||chr(10)||'source: "u"'||chr(10)||'pdf_type: B'||chr(10)||'has_images: true'||chr(10)||'image_count: 1'||chr(10)||'table_count: 1'||chr(10)||'tags:'||chr(10)||'  - icmr-stw'||chr(10)||'  - cardio'||chr(10)||'---'||chr(10)
 ||chr(10)||'# '||p_name||{_NL2}||'| Field | Value |'||chr(10)||'|---|---|'||chr(10)||'| **Specialty** | Cardio |'||chr(10)||'| **Volume** | 1 |'||chr(10)||'| **ICD Code** | Unknown |'||chr(10)||'| **Source** | [u](u) |'||{_NL2}||'---'||{_NL2}
-||'## First Look'||{_NL2}||p_type||{_NL2}||'---'||{_NL2}||'## Clinical Reference Tables'||{_NL2}||'> The following tables are extracted directly from the PDF and contain structured clinical data including drug dosages, scoring systems, and management protocols.'||{_NL2}||'### Table 1'||{_NL2}||'| a |'||{_NL2}
+||'## First Look'||{_NL2}||p_type||{_NL2}||'---'||{_NL2}||'## Clinical Reference Tables'||{_NL2}||'> Tables as the source has them.'||{_NL2}||'### Table 1'||{_NL2}||'| a |'||{_NL2}
 ||'---'||{_NL2}||'## Embedded Clinical Images'||{_NL2}||'### ECG'||{_NL2}||p_brand||{_NL2}||'---'||{_NL2}||'{_FOOT}' AS md FROM part""")
 def build_markdown(spark, d):
     one = lambda **k: F.array(F.struct(*[v.alias(n) for n, v in k.items()]))

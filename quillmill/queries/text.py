@@ -51,11 +51,11 @@ _BOIL = _LIG
 for _p in T.BOILERPLATE:
     _BOIL = f"regexp_replace({_BOIL}, '(?ims){_p}', '', 'g')"
 _scalar("strip_boilerplate", T.strip_boilerplate, _BOIL)
-_scalar("clean_artifacts", T.clean_artifacts, _RX(_RX(_RX(_RX("m", r"(?:\n\.){3,}", "\n"), r"(?m)^\.$"), "(?is)<math[^>]*>.*?Digitized.*?</math>"), r"\n{4,}", "\n\n"))
+_scalar("clean_artifacts", T.clean_artifacts, _RX(_RX(_RX(_RX("m", r"(?:\n\.){3,}", "\n"), r"(?m)^\.$"), "(?is)<math(?:[^>]*)>(?:.*?)Digitized(?:.*?)</math>"), r"\n{4,}", "\n\n"))
 _FENCED = "'```markdown'||chr(10)||m||chr(10)||'```'||chr(10)||text"
 
 
-@query("unwrap_fences", f"WITH {MD} SELECT doc_id, {strip_sql(_RX('(' + _FENCED + ')', r'(?s)```markdown\s*\n(.*?)\n```', chr(92) + '1'))} AS result FROM md")
+@query("unwrap_fences", f"WITH {MD} SELECT doc_id, {strip_sql(_RX('(' + _FENCED + ')', r'(?s)`{3}markdown\s*\n(.*?)\n`{3}', chr(92) + '1'))} AS result FROM md")
 def unwrap_fences(spark, d):
     return markdown(spark, d).select("doc_id", T.unwrap_fences(F.expr(_FENCED)).alias("result"))
 
@@ -87,7 +87,7 @@ def is_garbled(spark, d):
 _FORMAT = "CASE doc_id % 5 WHEN 0 THEN '## A'||chr(10)||'#### B c' WHEN 1 THEN '## A'||chr(10)||chr(10)||'## B'||chr(10)||chr(10)||'## C' WHEN 2 THEN '```' WHEN 3 THEN 'a /think' ELSE '' END||chr(10)||text"
 
 
-@query("needs_format", f"SELECT doc_id, contains(x, '```') OR contains(x, '/think') OR contains(x, '<think>') OR regexp_matches(x, '(?m)^##[^#].*\\n+####[^#]') OR regexp_matches(x, '(?m)^## \\w+\\n\\n## \\w+\\n\\n## \\w+') AS result FROM (SELECT doc_id, {_FORMAT} AS x FROM documents)")
+@query("needs_format", f"SELECT doc_id, contains(x, '```') OR contains(x, '/think') OR contains(x, '<think>') OR regexp_matches(x, '(?m)^#{{2}}[^#].*\\n+#{{4}}[^#]') OR regexp_matches(x, '(?m)^## \\w+(?:\\n\\n## \\w+){{2}}') AS result FROM (SELECT doc_id, {_FORMAT} AS x FROM documents)")
 def needs_format(spark, d):
     return table(spark, d, "documents").select("doc_id", T.needs_format(F.expr(_FORMAT)).alias("result"))
 
@@ -100,7 +100,7 @@ def content_loss_ok(spark, d):
 _CODED = "CASE doc_id % 3 WHEN 0 THEN 'see ICD-10-I50.9 ' WHEN 1 THEN 'icd 11 BA00 ' ELSE '' END||text"
 
 
-@query("extract_code", f"SELECT doc_id, coalesce(nullif(regexp_extract({_CODED}, '(?i)(ICD[-\\s]?(?:10|11)?[-\\s]?[\\w.]+)', 1), ''), 'Unknown') AS result FROM documents")
+@query("extract_code", f"SELECT doc_id, coalesce(nullif(regexp_extract({_CODED}, '(?i)(ICD[\\s-]?(?:1[01])?[\\s-]?[.\\w]+)', 1), ''), 'Unknown') AS result FROM documents")
 def extract_code(spark, d):
     return table(spark, d, "documents").select("doc_id", T.extract_code(F.expr(_CODED)).alias("result"))
 
@@ -108,7 +108,7 @@ def extract_code(spark, d):
 _REVIEW = "'Review. Score: '||cast(doc_id % 11 as {S})||'.5 / 10 '||left(text, 30)"
 
 
-@query("parse_review_score", f"SELECT doc_id, try_cast(regexp_extract({_REVIEW.format(S='varchar')}, 'Score:\\s*(\\d+(?:\\.\\d+)?)\\s*/\\s*10', 1) AS DOUBLE) AS result FROM documents")
+@query("parse_review_score", f"SELECT doc_id, try_cast(regexp_extract({_REVIEW.format(S='varchar')}, 'Score:\\s*([0-9]+(?:[.][0-9]+)?)\\s*/\\s*10', 1) AS DOUBLE) AS result FROM documents")
 def parse_review_score(spark, d):
     return table(spark, d, "documents").select("doc_id", T.parse_review_score(F.expr(_REVIEW.format(S="string"))).alias("result"))
 
