@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import free_name, shared_dir, table
 
-SHARDS, SEED = 64, 17
+SHARD_ROWS, SEED = 1024, 17
 _SCAN = re.compile(r"^[\s+:\-]*(Project|Relation|LogicalRDD|Filter)\b")
 
 
@@ -110,9 +110,12 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.checkpoint()
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = None, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """All rows and columns of docs, with shard (0 to shards - 1) and position (from 0) in it.
 
+    Without a number of shards, as many as hold shard_rows rows at most each, so that a shard,
+    which one task permutes, doesn't grow with the table.
+
     A uniform random shuffle: shard sizes differ by one at most and are exact, and every order
     of rows is as likely as any other, repeated rows too. Defined results: nulls, empty and long texts
     are rows like others, no column is looked at; shard and position get underscores added if
@@ -125,6 +128,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     counts = np.zeros(max([r.p for r in found], default=-1) + 1, np.int64)
     for r in found:
         counts[r.p] = r["count"]
+    shards = shards or max(1, -(-int(counts.sum()) // shard_rows))
     sizes = shard_sizes(int(counts.sum()), shards)
     sent = docs.sparkSession.sparkContext.broadcast((counts, sizes))  # partitions + shards numbers, not their product
 
