@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.boosting import sigmoid
-from quillmill.llm.common import table
+from quillmill.llm.common import bound_batches, least_hashed, table
 
 TRAIN_PAGES = 2_000
 EVIDENCE, ADJACENT, SIBLING = 3.0, 0.8, 0.6
@@ -227,7 +227,7 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> np.ndarray:
     """Weights of the features. Without blocks of both kinds: long blocks of few links are content."""
-    sample = pages.where("html is not null").select("html").orderBy(F.xxhash64(F.lit(41), "html"), "html").limit(rows)
+    sample = least_hashed(bound_batches(pages).where("html is not null").select("html"), rows, pages.count(), 41, "html")
     got = sample.mapInArrow(_samples, "side int, x array<double>").where("side <> 0").toArrow()
     side = got.column("side").to_numpy()
     default = np.zeros(N_FEATURES)
@@ -266,7 +266,7 @@ def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
                     kept.append(sum(on))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(kept, pa.int32())], ["page_id", "text", "n_blocks", "n_content"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
+    rows = bound_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "html")
     return rows.mapInArrow(run, "page_id long, text string, n_blocks int, n_content int")
 
 
