@@ -71,7 +71,7 @@ def validate_tables(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != col and c not in keys]
     rows = df.select(*keys, *rest, F.posexplode(split_lines(F.col(col))).alias("pos", "line"))
     s = T.strip(F.col("line"))
-    rows = rows.withColumns({"row": s.rlike(r"^\|.+\|$"), "sep": s.rlike(r"^\|[\s|:\-]+\|$"), "cols": T.count(F.col("line"), r"\|") - 1})
+    rows = rows.withColumns({"row": s.rlike(r"^\|.+\|$"), "sep": s.rlike(r"^[|][-\s:|]+[|]$"), "cols": T.count(F.col("line"), r"\|") - 1})
     w = Window.partitionBy(*keys).orderBy("pos")
     ahead = F.first(F.when(F.col("sep"), F.col("cols")), ignorenulls=True).over(w.rowsBetween(1, 3))
     rows = rows.withColumns({"ahead": ahead, "run": F.sum((~F.col("row")).cast("int")).over(w)})

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 
 PAGE_TYPES = ("scanned", "image_heavy", "table_heavy", "mixed", "text_rich")
-ROUNDS = {"small": 4, "medium": 3, "large": 2, "huge": 1}
-SAMPLE = {"small": 1.0, "medium": 0.6, "large": 0.3, "huge": 0.1}
+ROUNDS = dict(huge=1, large=2, medium=3, small=4)
+SAMPLE = dict(huge=0.1, large=0.3, medium=0.6, small=1.0)
 FORMULAS = 3
 
 
@@ -45,7 +45,7 @@ def refine_vision(pages: DataFrame, elements: DataFrame, keys: list[str]) -> Dat
 
 def detect_poster(pages: DataFrame, elements: DataFrame, doc: str, page: str) -> DataFrame:
     """doc, poster: five pages at most, one of them with over 800 characters but under 8 text elements."""
-    some = elements.where(F.col("label").isin("text", "section_header", "list_item", "paragraph")).groupBy(doc, page).agg(F.count("*").alias("__n"))
+    some = elements.where(F.col("label").isin("paragraph", "list_item", "text", "section_header")).groupBy(doc, page).agg(F.count("*").alias("__n"))
     joined = pages.join(some, [doc, page], "left")
     return joined.groupBy(doc).agg(((F.count("*") <= 5) & F.bool_or((F.length("text") > 800) & (F.coalesce("__n", F.lit(0)) < 8))).alias("poster"))
 

@@ -77,7 +77,7 @@ _NL2 = "chr(10)||chr(10)"
 
 
 @query("confidence_report", f"""WITH {_PS}, r AS (SELECT source, count(*) AS n, count(*) FILTER (score >= 8) AS high, string_agg('| '||(page_num + 1)||' | '||confidence||' | '||printf('%.1f', score)||' | '||CASE WHEN confidence = 'High' THEN '—' ELSE two END||' |', chr(10) ORDER BY page_num) AS rows FROM ps GROUP BY source)
-SELECT source, '# Confidence Report — '||source||{_NL2}||'## Summary'||{_NL2}||'| Metric | Value |'||chr(10)||'|---|---|'||chr(10)||'| Judge Score | 7.5 / 10 |'||chr(10)||'| Coverage | 25% pages ≥ 8.0 ('||high||'/'||n||') |'||chr(10)||'| Completeness | 50% words captured |'||chr(10)||'| Structure | 3 headings · 2 tables |'||{_NL2}||'---'||{_NL2}||'## Per-Page Scores'||{_NL2}||'| Page | Confidence | Score | Notes |'||chr(10)||'|---|---|---|---|'||chr(10)||rows AS report FROM r""")
+SELECT source, '# Confidence Report — '||source||{_NL2}||'## Summary'||{_NL2}||'| Metric | Value |'||chr(10)||'|---|---|'||chr(10)||'| Judge Score | 7.5 / 10 |'||chr(10)||'| Coverage | 25% pages ≥ 8.0 ('||high||'/'||n||') |'||chr(10)||'| Completeness | 50% words captured |'||chr(10)||'| Structure | 3 headings · 2 tables |'||{_NL2}||'---'||{_NL2}||'## Per-Page Scores'||{_NL2}||'| Page | Confidence | Score | Notes |'||chr(10)||'|'||repeat('---|', 4)||chr(10)||rows AS report FROM r""")
 def confidence_report(spark, d):
     s = _report(spark, d)
     m = s.select("source").distinct().selectExpr("source", "7.5D judge_score", "0.25D coverage_rate", "0.5D completeness", "3 heading_count", "2 table_count", "true judged")

@@ -17,7 +17,8 @@ def _scalar(name: str, column, sql: str, source: str = "m") -> None:
         return markdown(spark, d).select("doc_id", column(F.col(source)).alias("result"))
 
 
-_COMMENTS = "replace(replace(" + _RX(_RX("m", r"<!--(\s*page\s+\d+\s*)-->", "\x01\\1\x02", "gi"), r"<!--.*?-->", "", "gs") + ", '\x01', '<!--'), '\x02', '-->')"
+_THREE, _FOUR = ((f"\\n{{{n},}}", "\n\n") for n in (3, 4))
+_COMMENTS = "replace(replace(" + _RX(_RX("m", r"<!--(\s*page\s+\d+\s*)-->", "\x01\\1\x02", "gi"), r"<!--(?:.*?)-->", "", "gs") + ", '\x01', '<!--'), '\x02', '-->')"
 
 
 def _clean_sql(x: str, p: str) -> str:
@@ -32,7 +33,7 @@ _THINK = _RX(_RX("m", "<think>.*?</think>", "", "gis"), r"(?m)/think\b.*$")
 
 
 def ws_sql(x: str) -> str:
-    return strip_sql(_RX(_RX(x, r"(?m)[ \t]+$"), r"\n{3,}", "\n\n"))
+    return strip_sql(_RX(_RX(x, r"(?m)[ \t]+$"), *_THREE))
 
 
 _scalar("strip_html_comments", T.strip_html_comments, _COMMENTS)
@@ -41,7 +42,7 @@ _scalar("strip_think", T.strip_think, _THINK)
 _scalar("strip_think_reply", T.strip_think_reply, strip_sql(_RX(_RX("m", "<think>.*?</think>", "", "gis"), r"(?m)\s*/think\s*$")))
 _scalar("normalize_ws", T.normalize_ws, ws_sql("m"))
 _OCR = r"(select string_agg(l, chr(10) order by i) from (select unnest(ls) as l, generate_subscripts(ls, 1) as i from (select string_split(regexp_replace(m, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(10)) as ls)) where not (regexp_full_match(" + strip_sql("l") + r", '\d{1,4}') or length(" + strip_sql("l") + ") in (1, 2)))"
-_scalar("clean_ocr", T.clean_ocr, strip_sql(_RX(_OCR, r"\n{3,}", "\n\n")))
+_scalar("clean_ocr", T.clean_ocr, strip_sql(_RX(_OCR, *_THREE)))
 _LIG = "m"
 for _k, _v in T.LIGATURES.items():
     _LIG = f"replace({_LIG}, '{_k}', '{_v}')"
@@ -51,7 +52,7 @@ _BOIL = _LIG
 for _p in T.BOILERPLATE:
     _BOIL = f"regexp_replace({_BOIL}, '(?ims){_p}', '', 'g')"
 _scalar("strip_boilerplate", T.strip_boilerplate, _BOIL)
-_scalar("clean_artifacts", T.clean_artifacts, _RX(_RX(_RX(_RX("m", r"(?:\n\.){3,}", "\n"), r"(?m)^\.$"), "(?is)<math(?:[^>]*)>(?:.*?)Digitized(?:.*?)</math>"), r"\n{4,}", "\n\n"))
+_scalar("clean_artifacts", T.clean_artifacts, _RX(_RX(_RX(_RX("m", r"(?:\n\.){3,}", "\n"), r"(?m)^\.$"), "(?is)<math(?:[^>]*)>(?:.*?)Digitized(?:.*?)</math>"), *_FOUR))
 _FENCED = "'```markdown'||chr(10)||m||chr(10)||'```'||chr(10)||text"
 
 

@@ -24,7 +24,7 @@ def run_df(spark, f, texts):
 
 SCALAR = {
     T.strip_html_comments: [("a <!-- x --> b", "a  b"), ("<!-- page 3 -->\nt", "<!-- page 3 -->\nt"), ("<!-- a\nb -->z", "z"), ("<!--PAGE 12-->", "<!--PAGE 12-->"), ("<!-- page x -->", ""), ("none", "none"), (None, None)],
-    T.clean_latex: [("$\\mathbb定{R}$", "$\\mathbb{R}$"), ("$$\n\\frac{x定}{y}\n$$", "$$\n\\frac{x}{y}\n$$"), ("定 kept", "定 kept"), ("$a定\nb$", "$a定\nb$"), ("", "")],
+    T.clean_latex: [("$\\mathbb定{R}$", "$\\mathbb{R}$"), ("$$\n\\sqrt{b定}\n$$", "$$\n\\sqrt{b}\n$$"), ("定 kept", "定 kept"), ("$a定\nb$", "$a定\nb$"), ("", "")],
     T.strip_think: [("<think>a\nb</think>c", "c"), ("x /think y\nz", "x \nz"), ("docs/think about it", "docs"), ("<THINK>q</THINK>", "")],
     T.strip_think_reply: [("a /think \nb", "a\nb"), ("see /think more", "see /think more"), (" <think>x</think> k ", "k")],
     T.normalize_ws: [("a\n\n\n\n\nb", "a\n\nb"), ("a  \nb\t", "a\nb"), ("\n a \n", "a")],
