@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +37,8 @@ def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     Cuts the lineage with a table that survives the loss of executors, and gives the
-    optimiser the true size for its choice of join. Files go when the driver ends.
+    optimiser the true size for its choice of join. Files go when the driver ends with its
+    session open; of a session stopped before, they go with the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
@@ -47,7 +49,9 @@ def stash(df: DataFrame) -> DataFrame:
 
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
+    if jvm is None or spark.sparkContext._jsc is None:  # stopped before: a local folder can still go
+        if _LOCAL and path.startswith(_LOCAL):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
         return
     try:
         at = jvm.org.apache.hadoop.fs.Path(path)
