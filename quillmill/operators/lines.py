@@ -51,7 +51,8 @@ def _join(rows: DataFrame, keys: list[str], rest: list[str], col: str, order: st
 def dedup_sections(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """One section of each heading: the longest, earliest among equals, at the place of the first. keys identify rows."""
     rest = [c for c in df.columns if c != col and c not in keys]
-    rows = df.select(*keys, *rest, F.posexplode(F.split(col, r"\n(?=#{1,4}[^\S\n]+\S)", -1)).alias("block", "body"))
+    # By keys alone: that serves the window by heading and the joining below.
+    rows = df.repartition(*keys).select(*keys, *rest, F.posexplode(F.split(col, r"\n(?=#{1,4}[^\S\n]+\S)", -1)).alias("block", "body"))
     headed = F.col("body").rlike(r"^#{1,4}[^\S\n]+\S")
     lines = F.slice(split_lines(F.col("body")), 2, 1 << 30)
     size = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(T.strip(x)))
