@@ -16,20 +16,48 @@ from quillmill.operators import render as R
 Step = Callable[[list], list]
 
 
-def extract(pages: DataFrame, steps: dict[str, Step]) -> DataFrame:
+def with_answer(route: str, said: Column, text: Column, tables: Column) -> Column:
+    """A page of this route with its step's answer: mixed has it after its own text; image_heavy and text_rich append their tables."""
+    if route == "mixed":
+        return F.concat_ws("\n\n", F.nullif(R.page_text(text, tables), F.lit("")), said)
+    if route == "text_rich":
+        return R.page_text(said, tables)
+    if route == "image_heavy":
+        return F.concat_ws("\n\n", said, F.filter(tables, lambda t: T.strip(t) != ""))
+    return said
+
+
+def extract(pages: DataFrame, steps: dict[str, Step], elements: DataFrame | None = None, keys: list[str] | None = None, vision: Column | None = None) -> DataFrame:
     """pages (route, text, tables_md, ...) with md, each route's rows through its own step.
 
     A Python step would be run for every row under a when(), so routes are branches of a union,
     filtered first; a step that fails or answers with remarks about the task leaves the page's own text.
+    elements are the layout of pages by keys: a page of the layout route is its elements' markdown, its own
+    text where that is empty, and goes through image_heavy's step where it is garbled and vision (null: any
+    page) answers. Without elements it is its own text.
     """
-    own = R.page_text(F.col("text"), F.col("tables_md"))
-    branches = []
-    for route, step in steps.items():
-        done = run_model(pages.where(F.col("route") == route), "text", step, TEXT, "__r")
+    text, tables = F.col("text"), F.col("tables_md")
+    own = R.page_text(text, tables)
+
+    def answered(rows: DataFrame, route: str) -> DataFrame:
+        done = run_model(rows, "text", steps[route], TEXT, "__r")
         said = F.nullif(T.strip_hallucination(T.unwrap_fences(F.col("__r.value"))), F.lit(""))
-        branches.append(done.withColumn("md", F.coalesce(F.when(F.col("__r.ok"), said), own)).drop("__r"))
-    table = pages.where(F.col("route") == "table_heavy").withColumn("md", R.table_page(F.col("text"), F.col("tables_md")))
-    rest = pages.where(~F.col("route").isin("table_heavy", *steps) | F.col("route").isNull()).withColumn("md", own)
+        return done.withColumn("md", F.when(F.col("__r.ok") & said.isNotNull(), with_answer(route, said, text, tables)).otherwise(own)).drop("__r")
+
+    named = ["table_heavy", *steps]
+    branches = [answered(pages.where(F.col("route") == route), route) for route in steps if elements is None or route != "layout"]
+    if elements is not None:
+        named.append("layout")
+        layout = R.elements_to_markdown(elements, keys).withColumnRenamed("md", "__md")
+        laid = pages.where(F.col("route") == "layout").join(layout, keys, "left")
+        garbled = F.coalesce(T.is_garbled(F.col("__md")), F.lit(False))
+        if "image_heavy" in steps:
+            seen = garbled if vision is None else garbled & F.coalesce(vision, F.lit(False))
+            branches.append(answered(laid.where(seen).drop("__md"), "image_heavy"))
+            laid = laid.where(~seen)
+        branches.append(laid.withColumn("md", F.when(T.strip(F.col("__md")) != "", F.col("__md")).otherwise(own)).drop("__md"))
+    table = pages.where(F.col("route") == "table_heavy").withColumn("md", R.table_page(text, tables))
+    rest = pages.where(~F.col("route").isin(*named) | F.col("route").isNull()).withColumn("md", own)
     return reduce(DataFrame.unionByName, [*branches, table, rest])
 
 

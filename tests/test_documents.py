@@ -171,6 +171,53 @@ def test_routes(spark):
     assert order == ["poster", "exam", "slide", "layout", "fallback"]
 
 
+def test_layout_route(spark):
+    glyphs = "/g1a /gff /g0b a b"
+    el = [(0, 1, "text", "body"), (0, 0, "title", "T"), (0, 2, "footnote", "n"), (1, 0, "text", " "), (3, 0, "text", glyphs), (4, 0, "text", glyphs), (5, 0, "text", glyphs), (6, 0, "text", "not asked")]
+    el = spark.createDataFrame(el, "page_num int, ord int, label string, text string").withColumn("table_md", F.lit(""))
+    rows = [(i, "layout", f"own {i}", i != 4) for i in range(5)] + [(5, "layout", "fails", True), (6, None, "own 6", True)]
+    pages = spark.createDataFrame(rows, "page_num int, route string, text string, sees boolean").withColumn("tables_md", F.array(F.lit("|t|"), F.lit(" ")))
+
+    def vision(batch):
+        return [RuntimeError("no") if t == "fails" else "[vision] " + t for t in batch]
+
+    own = lambda x: f"{x}\n\n{R.TABLES_MARK}\n\n|t|"
+    whole = X.extract(pages, {"image_heavy": vision}, el, ["page_num"], F.col("sees"))
+    assert set(whole.columns) == {*pages.columns, "md"}
+    got = {r.page_num: r.md for r in whole.collect()}
+    assert got == {0: "# T\n\nbody\n\n---\n**Footnotes**\n\n- n", 1: own("own 1"), 2: own("own 2"), 3: "[vision] own 3\n\n|t|", 4: glyphs, 5: own("fails"), 6: own("own 6")}
+    assert {r.page_num: r.md for r in X.extract(pages, {}, el, ["page_num"]).collect()}[3] == glyphs
+
+
+def test_answers_keep_tables(spark):
+    kinds = ("text_rich", "image_heavy", "mixed", "poster", "slide", "exam", "scanned")
+    pages = spark.createDataFrame([(k, "own") for k in kinds], "route string, text string").withColumn("tables_md", F.array(F.lit("|t|"), F.lit(" ")))
+    got = {r.route: r.md for r in X.extract(pages, M.STUBS).collect()}
+    tables = f"\n\n{R.TABLES_MARK}\n\n|t|"
+    assert got == {
+        "text_rich": "[vision] own" + tables, "image_heavy": "[vision] own\n\n|t|", "mixed": f"own{tables}\n\n[vision] own",
+        "poster": "[vision] own", "slide": "[vision] own", "exam": "[exam] own", "scanned": "[ocr] own",
+    }
+
+
+def test_all_routes_over_documents(spark, sf):
+    from quillmill.queries import QUERIES
+    from quillmill.queries.analysis import elements
+    from quillmill.queries.documents import _routed
+
+    routed = _routed(spark, sf).withColumn("tables_md", F.array().cast("array<string>"))
+    md = {r.source: r.md for r in R.join_pages(X.extract(routed, M.STUBS, elements(spark, sf), ["doc_id"]), "source").collect()}
+    laid = {r.doc_id: r.md for r in QUERIES["elements_to_markdown"](spark, sf).collect()}
+    want, seen = {}, set()
+    for r in sorted(routed.select("source", "doc_id", "page_num", "route", "text").collect(), key=lambda r: r.page_num):
+        text = r.text.strip()
+        own = {"exam": f"[exam] {text}", "scanned": f"[ocr] {text}", "mixed": f"{text}\n\n[vision] {text}", "layout": laid[r.doc_id] or text}
+        want.setdefault(r.source, []).append(own.get(r.route, text if r.route in ("table_heavy", "fallback") else f"[vision] {text}"))
+        seen.add(r.route)
+    assert {"layout", "poster", "exam", "slide", "mixed", "table_heavy"} <= seen
+    assert md == {s: "\n\n---\n\n".join(x) for s, x in want.items()}
+
+
 def test_quality_loop_keeps_the_earliest_best(spark):
     df = spark.createDataFrame([(0, "alpha beta gamma", "## H\nalpha beta gamma"), (1, "alpha beta gamma delta", "## H\nalpha")], "k int, text string, md string")
     got = {r.k: r for r in X.quality_loop(df, "k").collect()}
