@@ -145,3 +145,10 @@ def test_verdicts(spark):
     cases = [('{"score": 7.5, "action": "accept"}', 7.5, "accept"), ('ok {"score": 3} so', 3.0, "patch"), ('```json\n{"score": 9}\n```', 9.0, "patch"), ('"score": 44', 10.0, "accept"), ("I say 6/10", 6.0, "patch"), ("no idea", 5.0, "patch"), (None, 5.0, "patch")]
     got = run(spark, J.parse_verdict, [c[0] for c in cases])
     assert [(r.score, r.action) for r in got] == [(s, a) for _, s, a in cases]
+
+
+def test_disclaimer_block(spark):
+    block = "This STW has been prepared by national experts of India\nwith feasibility in mind.\nKindly visit our web portal for more (stw.icmr.org.in) of 2022\n"
+    df = spark.createDataFrame([("Dose 5 mg\n" + block + "Rest\nThis STW has been prepared by hand",), ("This STW has been prepared by national experts\nkept",)], "t string")
+    got = [r.t for r in df.select(T.strip_boilerplate(F.col("t")).alias("t")).collect()]
+    assert got == ["Dose 5 mg\nRest\nThis STW has been prepared by hand", "This STW has been prepared by national experts\nkept"]
