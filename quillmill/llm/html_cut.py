@@ -30,10 +30,14 @@ from quillmill.llm.common import bound_batches, least_hashed, table
 TRAIN_PAGES = 2_000
 EVIDENCE, ADJACENT, SIBLING = 3.0, 0.8, 0.6
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _HINT = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|copyright|footer|header|login|menu|nav\w*|newsletter|pagination|popup|promo\w*|related|search|share|sidebar|social|sponsor\w*|subscribe|tags?|widget)\b", re.I)
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+#: A head's opening and the elements that only a head has; what ends a head whose content goes on.
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:\s|<(?:meta|link|base)(?=[\s/>])[^>]*>|<title(?=[\s/>])[^>]*>[^<]*</title\s*>)*", re.I)
+_HEAD_END = re.compile(rf"(</head\s*>)|<(?:{'|'.join(sorted(_BLOCK - {'title', 'html'}))})(?=[\s/>])", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _GOOD, _BAD = frozenset(("article", "main")), frozenset("nav header footer aside menu form".split())
 _KINDS = (("p", "blockquote", "pre"), ("li", "dt", "dd"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("td", "th"), ("div", "section", "body"))
@@ -52,9 +56,46 @@ class Block:
         self.words = (len(text.split()), tag)
 
 
+def _without(page: str, spans: list[tuple[int, int]]) -> str:
+    """page with a space for each span; spans may overlap."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += (page[at:a], " ")
+        at = max(at, b)
+    return "".join((*out, page[at:]))
+
+
+def visible(page: str) -> str:
+    """page without comments, scripts and styles, which run to the end if unclosed, and without hidden elements and the head.
+
+    A noscript, template or svg without its end tag, or an svg closed in its own tag, hides nothing. A head
+    ends at its end tag if that comes before the body or a block element, else after the elements that only a
+    head has.
+    """
+    page = _DROP.sub(" ", page)
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {"noscript": [], "template": [], "svg": []}
+    for m in _HIDDEN.finditer(page):
+        tag = m.group(2).lower()
+        if not m.group(1):
+            if tag != "svg" or not m.group(3).endswith("/"):
+                opened[tag].append(m.start())
+        elif opened[tag]:
+            spans.append((opened[tag].pop(), m.end()))
+    if spans:
+        page = _without(page, spans)
+    spans, end = [], None
+    for m in _HEAD.finditer(page):
+        if not spans or end and end.start() < m.end():
+            end = _HEAD_END.search(page, m.end())
+        spans.append((m.start(), end.end() if end and end.group(1) else m.end()))
+    return _without(page, spans) if spans else page
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order; never fails, whatever the markup."""
-    page = _DROP.sub(" ", page)
+    page = visible(page)
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, number, hint
     parts: list[str] = []
@@ -249,7 +290,7 @@ def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
 
     text: the content blocks of the whole page, a line each. Defined results: a null page has a null
     text and no blocks; an empty page, or one without content, an empty text; broken markup is
-    read as far as it goes (an unclosed comment or script runs to the end); repeated rows get
+    read as far as it goes (an unclosed comment, script or style runs to the end, nothing else does); repeated rows get
     equal results; an empty table gives an empty result; other columns play no part.
     """
 

@@ -59,6 +59,16 @@ def test_blocks(page, texts):
     assert [b.text for b in H.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<head><title>t</title><meta x><p>a", ["a"]), ("<head><title>t</title><body>a", ["a"]), ("<head>\n<link x>a<br>b", ["a", "b"]), ("<head><title>t</title>odd</head>x", ["x"]),
+    ("<head><noscript><p>j</p></noscript><title>t</title></head>x", ["x"]), ("<head><script>'</head><p>'</script><title>t</title></head>x", ["x"]), ("<head><title>t<p>a", ["t", "a"]),
+    ("<svg w='1' /><p>a", ["a"]), ("<svg><svg/><text>i</text></svg><p>a", ["a"]), ("<svg><p>a</p><svg><text>i</text></svg>", ["a"]), ("<noscript><p>a", ["a"]), ("<template><p>a", ["a"]),
+    ("<template><template>x</template>y</template>a", ["a"]), ("<style-guide>a</style-guide>", ["a"]), ("a<style>b", ["a"]), ("a<script>b", ["a"]), ("<head><p>a</p><head><p>b", ["a", "b"]),
+])
+def test_only_what_is_hidden_goes(page, texts):
+    assert [b.text for b in H.blocks(page)] == texts
+
+
 @given(st.text(alphabet="<>/pdivnaul!-'\"= &;x\n", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(page):
