@@ -77,7 +77,7 @@ def _format(path: str, budget: int, history: int):
             for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
                 roles = [t["role"] for t in turns]
                 ids = enc.encode_ordinary_batch([render(t["role"], t["text"]) for t in turns], num_threads=1)
-                head = ids[0] if roles[0] == SYSTEM and 2 * len(ids[0]) <= budget else []
+                head = ids[0] if roles[0] == SYSTEM and len(ids[0]) < budget else []
                 skip = 1 if head else 0
                 body, who = ids[skip:], roles[skip:]
                 spans = list(windows([len(t) for t in body], len(head), budget, history)) or [Window(0, 0, 0)]
@@ -107,8 +107,8 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     lengths in them. Turns go by turn (null last), then role and text. Defined results: a null
     role is "unknown" and no target; a null text is empty; repeated rows are turns each; a turn
     beyond the room of a window is cut into windows of its own, in full; a leading system turn
-    beyond half the budget is an ordinary turn; a conversation of a system turn alone has one
-    window without targets; null conv_ids form one conversation; an empty table gives an empty
+    heads every window if it leaves room for a token there, else it is an ordinary turn, cut in
+    full; a conversation of a system turn alone that heads its window has one, without targets; null conv_ids form one conversation; an empty table gives an empty
     result; other columns play no part.
     """
     if budget < 2 or history < 0:

@@ -80,3 +80,23 @@ def test_cases(spark):
     assert len(got[2]) == 1 and got[2][0].target_starts == []
     assert any(w.history_turn < w.first_turn for w in got[5])
     assert C.format_chats(df.limit(0)).count() == 0
+
+
+def test_a_long_system_turn_heads_every_window(spark):
+    enc, rows = C.encoder(), []
+    for conv, words in ((1, 60), (2, 88), (3, 200)):
+        rows += [(conv, 0, C.SYSTEM, "long " * words)] + [(conv, i, ("user", C.TARGET)[i % 2], "word " * 12) for i in range(1, 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns, got = {}, {}
+    for r in df.collect():
+        turns.setdefault(r.conv_id, []).append(r)
+    for w in C.format_chats(df, 100, 40).collect():
+        got.setdefault(w.conv_id, []).append(w)
+    for c, ws in got.items():
+        system = enc.encode_ordinary(C.render(turns[c][0].role, turns[c][0].text))
+        assert targets(ws) == brute(turns[c], enc) and all(len(w.input_ids) <= 100 for w in ws)
+        assert all(w.input_ids[: len(system)] == system for w in ws) == (len(system) < 100)
+        assert len(system) > 50 and len(ws) > 1
+    # One that leaves no room is cut into windows of its own, in full.
+    cut = sorted((w for w in got[3] if w.first_turn == 0), key=lambda w: w.window)
+    assert [i for w in cut for i in w.input_ids] == system and len(cut) > 1
