@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -96,41 +97,106 @@ def test_matrix_is_distributed_as_a_shuffle():
 
 def test_draws_beyond_the_library_limit():
     rng = np.random.default_rng(3)
-    g = [S._hyper(rng, 3 * 10**9, 10**9, 4000) for _ in range(300)]
-    assert all(0 <= x <= 4000 for x in g) and np.mean(g) == pytest.approx(3000, abs=8) and np.std(g) == pytest.approx(np.sqrt(4000 * 0.75 * 0.25), rel=0.25)
-
-
-def test_shards_are_exact_and_whole(spark, sf, tmp_path):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
-    docs.write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    got = S.shard(docs, 7).collect()
-    assert Counter(r.shard for r in got) == dict(enumerate(S.shard_sizes(docs.count(), 7).tolist()))
+    g = [S._hyper(rng, 3 * 10**9, 10**9, 2 * 10**9) for _ in range(400)]
+    sd = np.sqrt(2e9 * 0.75 * 0.25 * 0.5)
+    assert np.mean(g) == pytest.approx(1.5e9, abs=4 * sd / 20) and np.std(g) == pytest.approx(sd, rel=0.15)
+    assert S._mass(3, 7, 5, 6) == pytest.approx(350 / 924, rel=1e-12)
+    small = np.bincount([S._hyper(rng, 7, 5, 6) for _ in range(8000)], minlength=7)
+    want = np.array([S._mass(x, 7, 5, 6) if x else 0 for x in range(7)]) * 8000
+    assert ((small - want)[1:] ** 2 / want[1:]).sum() < 25 and small[0] == 0  # six degrees
+    assert sum(S._mass(x, 5 * 10**10, 5 * 10**10, 40) for x in range(41)) == pytest.approx(1, rel=1e-9)
+
+
+def test_a_row_of_a_vast_matrix_takes_seconds():
+    """1e6 partitions, 3e10 rows, 3e7 shards: as many columns as groups, however many shards there are."""
+    counts, sizes = S.shard_sizes(3 * 10**10, 10**6), S.group_sizes(3 * 10**10, 3 * 10**7)
+    assert len(sizes) < 5 * 10**5 and sizes.sum() == 3 * 10**10
+    began = time.process_time()
+    row = S.matrix_row(counts, sizes, 123_456)
+    assert row.sum() == counts[123_456] and (row >= 0).all() and time.process_time() - began < 15
+
+
+@given(st.integers(0, 400), st.integers(1, 60), st.integers(1, 50))
+@settings(max_examples=150, deadline=None)
+def test_groups_nest_with_shards(rows, shards, group_rows):
+    sizes, ends = S.group_sizes(rows, shards, group_rows), set(np.cumsum(S.shard_sizes(rows, shards)).tolist())
+    assert sizes.sum() == rows and sizes.max(initial=0) <= max(group_rows, -(-rows // shards)) + group_rows
+    groups = set(np.cumsum(sizes).tolist())
+    assert groups <= ends or ends <= groups
+
+
+def scanned(docs, path):
+    docs.write.parquet(str(path))
+    return docs.sparkSession.read.parquet(str(path))
+
+
+@pytest.mark.parametrize(("shards", "group_rows"), [(7, S.GROUP_ROWS), (50, 20), (3, 15)])
+def test_shards_are_exact_and_whole(spark, sf, tmp_path, shards, group_rows):
+    docs = scanned(spark.read.parquet(f"{sf}/documents.parquet").repartition(5), tmp_path / "d")
+    got = S.shard(docs, shards, group_rows=group_rows).collect()
+    assert Counter(r.shard for r in got) == dict(enumerate(S.shard_sizes(docs.count(), shards).tolist()))
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
-    for s in range(7):
+    for s in range(shards):
         assert sorted(r.position for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    again = {(r.doc_id, r.shard, r.position) for r in S.shard(docs, 7).collect()}
+    again = {(r.doc_id, r.shard, r.position) for r in S.shard(docs, shards, group_rows=group_rows).collect()}
     assert again == {(r.doc_id, r.shard, r.position) for r in got}
-    # Brute force: the same draws with plain loops.
-    parts = docs.withColumns({"p": F.spark_partition_id(), "r": F.rand(S.SEED)}).collect()
-    counts = np.bincount([r.p for r in parts])
+    # Brute force: the same draws and keys with plain loops.
+    one, two = S.keys(S.SEED, F.monotonically_increasing_id())
+    parts = docs.select("doc_id", F.spark_partition_id().alias("p"), one.alias("one"), two.alias("two")).collect()
+    counts, sizes = np.bincount([r.p for r in parts]), S.group_sizes(len(parts), shards, group_rows)
+    group = {}
     for p in range(len(counts)):
-        mine = [r.doc_id for r in sorted((r for r in parts if r.p == p), key=lambda r: r.r)]
-        runs = np.repeat(np.arange(7), S.matrix_row(counts, S.shard_sizes(len(parts), 7), p))
-        assert {d: s for d, s in zip(mine, runs)} == {r.doc_id: r.shard for r in got if r.doc_id in set(mine)}
+        mine = sorted((r for r in parts if r.p == p), key=lambda r: r.one)
+        for r, g in zip(mine, np.repeat(np.arange(len(sizes)), S.matrix_row(counts, sizes, p)), strict=True):
+            group[r.doc_id] = g
+    order = sorted(parts, key=lambda r: (group[r.doc_id], r.two))
+    where = [(s, i) for s, n in enumerate(S.shard_sizes(len(parts), shards)) for i in range(n)]
+    assert {r.doc_id: w for r, w in zip(order, where, strict=True)} == {r.doc_id: (r.shard, r.position) for r in got}
 
 
 def test_shuffle_is_uniform(spark, tmp_path):
-    spark.range(40, numPartitions=3).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "u"))
-    docs = spark.read.parquet(str(tmp_path / "u"))
+    docs = scanned(spark.range(40, numPartitions=3).withColumnRenamed("id", "doc_id"), tmp_path / "u")
     first = Counter()
     for seed in range(30):
         first.update(r.doc_id for r in S.shard(docs, 4, seed).where("position = 0").collect())
     assert max(first.values()) <= 12 and len(first) >= 34  # 120 draws over 40 rows
 
 
+def chi_square(table):
+    want = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+    return ((table - want) ** 2 / want).sum()
+
+
+def test_shuffle_is_uniform_jointly(spark, tmp_path):
+    """Where a row goes says nothing of where the row of the same place in the next partition goes.
+
+    Streams seeded by seed + partition and seed + 1 + partition are one stream, a partition apart.
+    """
+    n, shards = 6000, 6
+    docs = scanned(spark.range(4 * n, numPartitions=4).withColumnRenamed("id", "doc_id"), tmp_path / "j")
+    parts = docs.withColumn("p", F.spark_partition_id()).collect()
+    assert len({r.p for r in parts}) == 4
+    got = {r.doc_id: (r.shard, r.position) for r in S.shard(docs, shards).collect()}
+    places = {p: [got[r.doc_id] for r in parts if r.p == p] for p in range(4)}
+    for p in range(4):
+        for q in range(4):
+            if p == q:
+                continue
+            both = list(zip(places[p], places[q], strict=False))
+            by_shard, by_place = np.zeros((shards, shards)), np.zeros((shards, 8))
+            for (s, at), (t, _) in both:
+                by_shard[s, t] += 1
+                by_place[t, at * 8 // (4 * n // shards)] += 1
+            assert chi_square(by_shard) < 65 and chi_square(by_place) < 80  # 25 and 35 degrees
+    where = np.zeros((4, shards))
+    for p in range(4):
+        for s, _ in places[p]:
+            where[p, s] += 1
+    assert chi_square(where) < 45  # 15 degrees, a draw without replacement has less spread
+
+
 def test_shard_cases(spark):
-    clash = ("shard", "position", "_first", "_second", "_row")
+    clash = ("shard", "position", "_first", "_second", "_row", "_group")
     got = S.shard(odd(spark, clash), 4)  # not a scan: goes through a checkpoint
     assert got.columns == [*odd(spark, clash).columns, "shard_", "position_"]
     rows = got.collect()
