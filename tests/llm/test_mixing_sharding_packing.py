@@ -158,7 +158,7 @@ def test_shuffle_is_uniform(spark, tmp_path):
     docs = scanned(spark.range(40, numPartitions=3).withColumnRenamed("id", "doc_id"), tmp_path / "u")
     first = Counter()
     for seed in range(30):
-        first.update(r.doc_id for r in S.shard(docs, 4, seed).where("position = 0").collect())
+        first.update(r.doc_id for r in S.shard(docs, 4, seed, group_rows=10).where("position = 0").collect())
     assert max(first.values()) <= 12 and len(first) >= 34  # 120 draws over 40 rows
 
 
@@ -176,7 +176,7 @@ def test_shuffle_is_uniform_jointly(spark, tmp_path):
     docs = scanned(spark.range(4 * n, numPartitions=4).withColumnRenamed("id", "doc_id"), tmp_path / "j")
     parts = docs.withColumn("p", F.spark_partition_id()).collect()
     assert len({r.p for r in parts}) == 4
-    got = {r.doc_id: (r.shard, r.position) for r in S.shard(docs, shards).collect()}
+    got = {r.doc_id: (r.shard, r.position) for r in S.shard(docs, shards, group_rows=4 * n // shards).collect()}
     places = {p: [got[r.doc_id] for r in parts if r.p == p] for p in range(4)}
     for p in range(4):
         for q in range(4):
