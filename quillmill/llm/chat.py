@@ -18,24 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import bound_batches, table
+from quillmill.llm.tokens import TOKENIZER, encoder
 
 BUDGET, HISTORY = 1024, 256
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TARGET, SYSTEM = "assistant", "system"
 
 
-def encoder(path: str = TOKENIZER):
-    """path: ranks as lines of base64 token and number."""
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def render(role: str | None, text: str | None) -> str:
     return f"<|{role or 'unknown'}|>\n{text or ''}\n<|end|>\n"
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.llm import mixing as M
 from quillmill.llm import packing as P
 from quillmill.llm import sharding as S
+from quillmill.llm.tokens import encoder
 from tests.llm.helpers import DOCS, empty, odd, write
 
 TOKEN = re.compile(r"[^ \t\n\r\f]+")
@@ -221,46 +222,77 @@ def test_first_fit_is_first_fit(lengths):
 
 
 def brute_pack(rows, capacity):
-    """Bins of rows (doc_id, tokens) of one group."""
-    pieces = [(-min(capacity, n - at), d is None, d or 0, at) for d, n in rows for at in range(0, max(n, 1), capacity)]
+    """Bins of rows (row, doc_id, tokens) of one group."""
+    pieces = [(-min(capacity, n - at), row, at, d) for row, d, n in rows for at in range(0, max(n, 1), capacity)]
     bins = []
-    for neg, none, d, at in sorted(pieces):
+    for neg, _, at, d in sorted(pieces, key=lambda x: x[:3]):
         b = next((b for b in bins if sum(x[2] for x in b) - neg <= capacity), None)
         if b is None:
             bins.append(b := [])
-        b.append((None if none else d, at, -neg))
+        b.append((d, at, -neg))
     return bins
 
 
 def test_whole_packing_against_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", M.token_count().alias("n"))
-    groups = max(1, -(-docs.count() // 64))
-    rows = docs.withColumn("g", F.expr(f"pmod(xxhash64({P.SEED}, doc_id, text), {groups})")).collect()
-    got = defaultdict(dict)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    enc, groups = encoder(), max(1, -(-docs.count() // 64))
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = keyed.withColumn("g", F.expr(f"pmod(xxhash64({P.SEED}, row), {groups})")).collect()
+    got, text = defaultdict(dict), {r.doc_id: enc.encode_ordinary(r.text or "") for r in rows}
     for r in P.pack(docs, 300, 64).collect():
-        got[r.group_id][r.bin_id] = list(zip(r.doc_ids, r.starts, r.lengths))
+        got[r.group_id][r.bin_id] = list(zip(r.doc_ids, r.starts, r.lengths, strict=True))
         assert r.tokens == sum(r.lengths) <= 300
-    assert len(got) == groups
+        assert r.input_ids == [t for d, s, n in got[r.group_id][r.bin_id] for t in text[d][s : s + n]]
+    assert len(got) == len({r.g for r in rows})
     for g in got:
-        want = brute_pack([(r.doc_id, r.n) for r in rows if r.g == g], 300)
+        want = brute_pack([(r.row, r.doc_id, len(text[r.doc_id])) for r in rows if r.g == g], 300)
         assert [got[g][i] for i in range(len(got[g]))] == want
 
 
-def test_query_packs_every_token(spark, sf):
-    want = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", M.token_count().alias("n")).collect()}
-    seen, bins = Counter(), P.query(spark, sf).collect()
+def unpacked(enc, bins):
+    """Texts by document, from its parts in order; for tables where doc_id is unique."""
+    parts = defaultdict(dict)
     for r in bins:
-        seen.update(dict.fromkeys(r.doc_ids, 0))
-        for d, n in zip(r.doc_ids, r.lengths):
-            seen[d] += n
-    assert dict(seen) == want
-    assert sum(want.values()) / (len(bins) * P.CAPACITY) > 0.95
+        at = 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
+            assert s not in parts[d]
+            parts[d][s] = r.input_ids[at : at + n]
+            at += n
+        assert at == len(r.input_ids) == r.tokens <= P.CAPACITY
+    whole = {d: [t for s in sorted(p) for t in p[s]] for d, p in parts.items()}
+    return {d: enc.decode(t, errors="strict") for d, t in whole.items()}
+
+
+def test_query_decodes_to_every_text(spark, sf):
+    want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    bins = P.query(spark, sf).collect()
+    assert unpacked(encoder(), bins) == want
+    assert sum(r.tokens for r in bins) / (len(bins) * P.CAPACITY) > 0.95
 
 
 def test_pack_cases(spark):
-    rows = P.pack(odd(spark, ("n", "piece", "group_id", "start", "length")), 100).collect()
-    seen = Counter(d for r in rows for d, s in zip(r.doc_ids, r.starts) if s == 0)
+    docs = odd(spark, ("n", "piece", "row", "ids", "group_id", "start", "length", "tokens"))
+    bins = P.pack(docs, 100).collect()
+    seen = Counter(d for r in bins for d, s in zip(r.doc_ids, r.starts, strict=True) if s == 0)
     assert seen == Counter(r.doc_id for r in odd(spark).collect())
-    assert sum(r.tokens for r in rows if 6 in r.doc_ids) >= 60_000
+    assert sum(n for r in bins for d, n in zip(r.doc_ids, r.lengths, strict=True) if d == 6) >= 60_000
     assert P.pack(empty(spark)).count() == 0
     assert DOCS.startswith("doc_id") and write
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    bins = P.pack(docs, 100, group=100).collect()
+    size = Counter()
+    for r in bins:
+        size[r.group_id] += len(r.doc_ids)
+    assert len(size) == 20 and max(size.values()) < 160 and sum(size.values()) == 2000
+
+
+def test_a_long_document_streams_through(spark):
+    """Full pieces leave a group as they come; its rests are packed."""
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "short"), (3, None)], "doc_id long, text string")
+    bins = P.pack(docs, 64, group=8).collect()
+    assert [r.bin_id for r in sorted(bins, key=lambda r: r.bin_id)] == list(range(len(bins)))
+    full = {s for r in bins for d, s in zip(r.doc_ids, r.starts, strict=True) if d == 1}
+    assert full == set(range(0, max(full) + 64, 64)) and sum(r.tokens for r in bins) >= 400_000
