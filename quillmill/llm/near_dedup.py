@@ -14,10 +14,11 @@ much as one.
 2. Bands of ROWS slots become bucket keys. Each member of a bucket is paired with its least.
 3. Verification: the exact Jaccard similarity of the sets of whole texts.
 4. Union-find within partitions of the edge table, then star contractions between them.
-5. Where a bucket then still holds several components, every pair across them is compared by
-   signature, in place, and those that come within MARGIN of the threshold are verified as well.
-   Hence the groups are the components of all candidate pairs that pass, and neither pairs
-   known to be connected nor texts that merely share a passage move through a shuffle.
+5. Where a bucket then still holds several components, all its pairs across them are verified in
+   place, by their sets: exactly, with a prefix filter by the elements that are rare in the bucket. A set
+   moves once for each such bucket (in a hot one, once for each pair of blocks that it is in).
+   Hence the groups are the components of all candidate pairs that pass, and pairs
+   known to be connected are never compared.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ from quillmill.llm.bytekernel import _U, Slice, grams, mix, slices, words
 from quillmill.llm.common import bound_batches, free_name, stash, table
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
-#: How far below the threshold a signature's estimate must be for step 5 to leave a pair: over
-#: three and a half standard deviations, so it leaves a true pair once in 5,000 at worst.
-MARGIN = 0.15
+#: Members of a bucket that are compared in one piece; larger buckets are compared by pairs of such blocks.
+BLOCK = 1024
 #: The most ids (8 bytes each) that are sent to every executor.
 SEND_IDS = 2_000_000
 
@@ -124,47 +124,101 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of each slot of the signature."""
-    for b in batches:
-        for s in slices(b.column("text")):
-            elem, doc = shingles(s)
-            sig = (mix(superminhash(elem, doc, s.n, BANDS * ROWS).view(np.uint64)) & _U(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(s.first, s.n), pa.array([row.tobytes() for row in sig], pa.binary())], ["id", "sketch"])
-
+def similar(root: np.ndarray, block: np.ndarray, size: np.ndarray, elem: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs at the threshold among sets of these sizes, concatenated in elem, but for pairs of one root
+    or, if there are two blocks, of one block. Exact.
 
-def _across(need: int):
-    """Pairs of a bucket in different components whose sketches agree in at least need slots.
-
-    Takes rows sorted by band; holds one bucket at a time, and a block of its pairs.
+    Two sets at the threshold share one of the n - ceil(threshold n) + 1 elements that are rarest here of
+    either (prefix filtering), so sets that have no more than a common passage in common aren't compared.
+    """
+    n = len(size)
+    _, code, often = np.unique(elem, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.lexsort((code, often[code], owner))
+    off = np.r_[0, np.cumsum(size)]
+    early = (np.arange(len(elem)) - off[owner]) < (size - np.ceil(threshold * size - 1e-9) + 1)[owner]
+    rare, who = code[order][early], owner[early]
+    order = np.argsort(rare, kind="stable")
+    rare, who = rare[order], who[order]
+    meet = np.zeros((n, n), bool)
+    at = np.arange(len(rare))
+    step = 1
+    while True:  # pairs of equal elements, step places apart; owners ascend within an element
+        at = at[at + step < len(rare)]
+        at = at[rare[at] == rare[at + step]]
+        if not len(at):
+            break
+        meet[who[at], who[at + step]] = True
+        step += 1
+    two = block.min() != block.max()
+    left, right, mark = [], [], np.zeros(len(often), bool)
+    for i in np.flatnonzero(meet.any(axis=1)):
+        j = np.flatnonzero(meet[i])
+        j = j[(root[j] != root[i]) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & ((block[j] != block[i]) if two else True)]
+        if not len(j):
+            continue
+        own = code[off[i] : off[i + 1]]
+        mark[own] = True
+        count = size[j]
+        new = np.r_[0, np.cumsum(count)]
+        both = np.add.reduceat(mark[code[np.repeat(off[j] - new[:-1], count) + np.arange(new[-1])]].astype(np.int64), new[:-1])
+        mark[own] = False
+        j = j[both >= threshold * (size[i] + count - both)]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _across(threshold: float):
+    """Pairs of a bucket in different components at the threshold.
+
+    Takes rows (band, lo, hi, block, id, root, shingles) sorted by band, lo, hi; holds one pair of blocks at a time.
     """
 
-    def pairs(ids: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), 32):
-            for j in range(0, len(ids), 2048):
-                same = (sketch[i : i + 32, None] == sketch[None, j : j + 2048]).sum(axis=2, dtype=np.int16)
-                a, b = np.nonzero((same >= need) & (root[i : i + 32, None] != root[None, j : j + 2048]) & (ids[i : i + 32, None] < ids[None, j : j + 2048]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                block, ids, root, size, elem = (np.concatenate([h[i] for h in held]) for i in range(5))
+                a, b = similar(root, block, size, elem, threshold)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(ids[j + b])], ["a", "b"])
+                    a, b = ids[a], ids[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] = ()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            now = tuple(batch.column(i).to_numpy() for i in range(3)) + (sketch,)
-            now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True)) if rest else now
-            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-            for x, y in zip(starts[:-1], starts[1:], strict=True):
-                yield from pairs(*(c[x:y] for c in now[1:]))
-            rest = tuple(c[starts[-1] :] for c in now)
-        if rest:
-            yield from pairs(*rest[1:])
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            block, ids, root = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            off, elem = np.asarray(batch.column(6).offsets).astype(np.int64), batch.column(6).values.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if tuple(keys[x]) != key:
+                    yield from close()
+                    key, held = tuple(keys[x]), []
+                held.append((block[x:y].copy(), ids[x:y].copy(), root[x:y].copy(), np.diff(off[x : y + 1]), elem[off[x] : off[y]].copy()))
+        yield from close()
 
     return run
 
 
+def crossing(split: DataFrame, sets: DataFrame, threshold: float, most: int = BLOCK) -> DataFrame:
+    """a, b: the pairs at the threshold of different roots within the bands of split (band, id, root, m: members of the band).
+
+    A band of over most members is dealt to blocks by a hash of the id, and each pair of blocks is a task of
+    its own, so what a task holds doesn't grow with the band.
+    """
+    blocks = F.ceil(F.col("m") / most).cast("int")
+    dealt = split.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    dealt = dealt.select("band", "block", "id", "root", other).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root")
+    rows = dealt.join(sets, "id").select("band", "lo", "hi", "block", "id", "root", "shingles")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return rows.mapInArrow(_across(threshold), "a long, b long").distinct()
+
+
 def _find(parent: dict[int, int], x: int) -> int:
     while (p := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(p, p)
@@ -218,14 +272,11 @@ def roots(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = components(edges)
     member = shared.select("band", "id").distinct().join(first, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     w = Window.partitionBy("band")
-    split = stash(member.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").select("band", "id", "root"))
+    lo, hi, m = F.min("root").over(w), F.max("root").over(w), F.count("*").over(w)
+    split = stash(member.withColumns({"lo": lo, "hi": hi, "m": m}).where("lo < hi").select("band", "id", "root", "m"))
     ids = stash(split.select("id").distinct())
-    sketches = stash(_among(texts, ids, "left_semi").mapInArrow(_sketches, "id long, sketch binary").dropDuplicates(["id"]))
-    rows = split.join(sketches, "id").select("band", "id", "root", "sketch").repartition("band").sortWithinPartitions("band")
-    need = int((threshold - MARGIN) * BANDS * ROWS)
-    cross = rows.mapInArrow(_across(need), "a long, b long").distinct()
-    rest = stash(cross.join(star, ["a", "b"], "left_anti"))
-    more = stash(verified(texts, rest, threshold))
+    sets = stash(_among(texts, ids, "left_semi").mapInArrow(_sets, "id long, shingles array<int>").dropDuplicates(["id"]))
+    more = stash(crossing(split, sets, threshold))
     return components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)) if more.head(1) else first
 
 

@@ -113,6 +113,62 @@ def test_large_family_and_shared_passage(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_pairs_in_place_are_all_pairs(blocks):
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 31, 60)
+    members = []
+    for i in range(90):
+        own = rng.integers(0, 1 << 31, rng.integers(1, 80))
+        base = members[rng.integers(0, len(members))] if i and i % 3 == 0 else own
+        members.append(np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], own[: 1 + i % 7], common[: 60 * (i % 2)]])).astype(np.int32))
+    root, block = rng.integers(0, 60, 90), rng.integers(0, blocks, 90)
+    size = np.array([len(m) for m in members])
+    a, b = N.similar(root, block, size, np.concatenate(members), 0.5)
+    want = set()
+    for i in range(90):
+        for j in range(i + 1, 90):
+            both = len(np.intersect1d(members[i], members[j]))
+            if root[i] != root[j] and (blocks == 1 or block[i] != block[j]) and both >= 0.5 * (size[i] + size[j] - both):
+                want.add((i, j))
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == want and len(want) > 5
+
+
+def test_blocks_of_a_hot_bucket_agree(spark):
+    rng = np.random.default_rng(9)
+    rows, sets = [], []
+    for i in range(120):
+        base = rng.integers(0, 1 << 30, 40) if i % 2 == 0 else np.array(sets[-1][1])
+        sets.append((i, np.unique(np.r_[base[:36], rng.integers(0, 1 << 30, 4)]).astype(int).tolist()))
+        rows += [(5, i, i, 120), (7, i, i // 10, 120)]
+    split, have = spark.createDataFrame(rows, "band long, id long, root long, m long"), spark.createDataFrame(sets, "id long, shingles array<int>")
+    got = [sorted(map(tuple, N.crossing(split, have, 0.5, most).collect())) for most in (1000, 7, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 60
+
+
+def test_a_passage_shared_by_very_many_documents(spark):
+    """20,000 documents around one passage, 60 pairs of copies among them: the pairs are found, nothing else is."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklm"), 5)) for _ in range(4000)])
+    passage = " ".join(vocabulary[:45])
+    rows = []
+    for i in range(20_000):
+        if i >= 19_940:  # a copy of document i - 19,940 with two other words
+            w = rows[i - 19_940][1].split()
+            w[3], w[-3] = "first", "last"
+            rows.append((i, " ".join(w)))
+        else:
+            w = vocabulary[rng.integers(45, 4000, 70)]
+            rows.append((i, " ".join(w[:20]) + " " + passage + " " + " ".join(w[20:])))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    found = sorted((r.group_id, r.doc_id) for r in N.groups(docs).where("group_size > 1").collect())
+    pairs = [p for i in range(60) for p in ((i, i), (i, 19_940 + i))]
+    assert set(found) <= set(pairs) and len(found) >= 0.95 * len(pairs)  # brute force knows no other pair: see below
+    some = rows[:40] + rows[19_940:19_980]
+    want = brute(some, N.THRESHOLD)
+    assert [want[i] for i in range(40, 80)] == list(range(40))
+
+
 def test_cases(spark):
     clash = ("id", "band", "root", "nth", "text_id", "keep", "count")
     got = N.groups(odd(spark, clash)).collect()
