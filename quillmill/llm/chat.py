@@ -21,6 +21,8 @@ from quillmill.llm.common import bound_batches, table
 from quillmill.llm.tokens import TOKENIZER, encoder
 
 BUDGET, HISTORY = 1024, 256
+#: The share of a window that a system turn leaves to the others, at least: one part in so many.
+ROOM = 16
 TARGET, SYSTEM = "assistant", "system"
 
 
@@ -56,6 +58,8 @@ def windows(lengths: list[int], head: int, budget: int, history: int) -> Iterato
 
 
 def _format(path: str, budget: int, history: int):
+    least = max(1, budget // ROOM)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         names = ["conv_id", "window", "history_turn", "first_turn", "end_turn", "input_ids", "target_starts", "target_lengths"]
@@ -65,9 +69,12 @@ def _format(path: str, budget: int, history: int):
             for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
                 roles = [t["role"] for t in turns]
                 ids = enc.encode_ordinary_batch([render(t["role"], t["text"]) for t in turns], num_threads=1)
-                head = ids[0] if roles[0] == SYSTEM and len(ids[0]) < budget else []
-                skip = 1 if head else 0
+                head = ids[0][: budget - least] if roles[0] == SYSTEM else []
+                cut = len(head) < len(ids[0])  # what a head has no room for goes on as an ordinary turn
+                skip = 1 if head and not cut else 0
                 body, who = ids[skip:], roles[skip:]
+                if head and cut:
+                    body[0] = ids[0][len(head) :]
                 spans = list(windows([len(t) for t in body], len(head), budget, history)) or [Window(0, 0, 0)]
                 for i, w in enumerate(spans):
                     seq, starts, lens = list(head), [], []
@@ -95,15 +102,17 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     lengths in them. Turns go by turn (null last), then role and text. Defined results: a null
     role is "unknown" and no target; a null text is empty; repeated rows are turns each; a turn
     beyond the room of a window is cut into windows of its own, in full; a leading system turn
-    heads every window if it leaves room for a token there, else it is an ordinary turn, cut in
-    full; a conversation of a system turn alone that heads its window has one, without targets; null conv_ids form one conversation; an empty table gives an empty
+    heads every window, whole if it leaves a 16th of the window (ROOM), else its beginning of that length does
+    and the rest of it follows once as an ordinary turn, in full; a conversation of a system turn alone has one window, without targets, or those of the rest;
+    rows of a null conv_id have no conversation in common, so each is one of its own; an empty table gives an empty
     result; other columns play no part.
     """
     if budget < 2 or history < 0:
         raise ValueError("the budget must hold a token of head and body each")
     t = F.struct(F.col("turn").isNull().alias("n"), "turn", "role", "text")
-    convs = bound_batches(turns).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(t)).alias("turns"))
-    convs = convs.select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    rows = bound_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), t.alias("t"))
+    convs = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    convs = convs.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))).select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     schema = "conv_id long, window int, history_turn int, first_turn int, end_turn int, input_ids array<int>, target_starts array<int>, target_lengths array<int>"
     return convs.mapInArrow(_format(tokenizer, budget, history), schema)
 

@@ -52,7 +52,7 @@ def test_whole_query_is_a_round_trip(spark, sf):
         assert targets(got[c]) == brute(turns[c], enc)
         order = sorted(turns[c], key=lambda r: r.turn)
         system = enc.encode_ordinary(C.render(order[0].role, order[0].text)) if order[0].role == C.SYSTEM else []
-        keep = system and 2 * len(system) <= C.BUDGET
+        keep = system and len(system) <= C.BUDGET - C.BUDGET // C.ROOM
         for w in got[c]:
             assert len(w.input_ids) <= C.BUDGET
             assert not keep or w.input_ids[: len(system)] == system
@@ -75,6 +75,8 @@ def test_cases(spark):
     for r in df.collect():
         turns.setdefault(r.conv_id, []).append(r)
     assert set(got) == {1, 2, 3, 4, 5, None}
+    alone, whose = got.pop(None), turns.pop(None)  # each row of a null conv_id for itself
+    assert sorted(w.input_ids for w in alone) == sorted(enc.encode_ordinary(C.render(r.role, r.text)) for r in whose)
     for c in got:
         assert targets(got[c]) == brute(turns[c], enc) and all(len(w.input_ids) <= 100 for w in got[c])
     assert len(got[2]) == 1 and got[2][0].target_starts == []
@@ -84,19 +86,24 @@ def test_cases(spark):
 
 def test_a_long_system_turn_heads_every_window(spark):
     enc, rows = C.encoder(), []
-    for conv, words in ((1, 60), (2, 88), (3, 200)):
+    for conv, words in ((1, 60), (2, 80), (3, 200)):
         rows += [(conv, 0, C.SYSTEM, "long " * words)] + [(conv, i, ("user", C.TARGET)[i % 2], "word " * 12) for i in range(1, 7)]
+    rows.append((4, 0, C.SYSTEM, "long " * 200))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     turns, got = {}, {}
     for r in df.collect():
         turns.setdefault(r.conv_id, []).append(r)
     for w in C.format_chats(df, 100, 40).collect():
         got.setdefault(w.conv_id, []).append(w)
+    assert set(got) == {1, 2, 3, 4}
     for c, ws in got.items():
         system = enc.encode_ordinary(C.render(turns[c][0].role, turns[c][0].text))
+        head = system[: 100 - 100 // C.ROOM]
         assert targets(ws) == brute(turns[c], enc) and all(len(w.input_ids) <= 100 for w in ws)
-        assert all(w.input_ids[: len(system)] == system for w in ws) == (len(system) < 100)
-        assert len(system) > 50 and len(ws) > 1
-    # One that leaves no room is cut into windows of its own, in full.
-    cut = sorted((w for w in got[3] if w.first_turn == 0), key=lambda w: w.window)
-    assert [i for w in cut for i in w.input_ids] == system and len(cut) > 1
+        assert all(w.input_ids[: len(head)] == head for w in ws) and len(system) > 50 and len(ws) > 1
+        # What a head can't hold follows once, in full.
+        cut = sorted((w for w in ws if w.first_turn == 0), key=lambda w: w.window)
+        assert (head == system) == (not cut)
+        if cut:
+            body = [i for w in cut for i in w.input_ids[len(head) :]]
+            assert body[: len(system) - len(head)] == system[len(head) :]
