@@ -9,7 +9,7 @@ as long as they last.
 No source is ever gathered in one place. The hash is uniform, so its first digits split a source
 into BUCKETS even, ordered parts; their sums (a small table) give each part's offset, and the
 running sum within a part completes it. The cut is found in the same manner, in BUCKETS parts of
-finish time. Only (source, key, tokens) move for all this; texts move for documents below the
+finish time, and parts of these parts. Only (source, key, tokens) move for all this; texts move for documents below the
 cut alone.
 """
 
@@ -26,6 +26,8 @@ BUCKETS = 16**DIGITS
 WEIGHTS = {"src0": 4.0, "src1": 2.0}
 DEFAULT_WEIGHT = 1.0
 BUDGET = 0.5
+#: The most rows among which the cut's place is found by one sort.
+FEW = 100_000
 
 
 def token_count(text: Column | str = "text") -> Column:
@@ -56,7 +58,7 @@ def _finish(rows: DataFrame, offsets: DataFrame, weights: dict[str, float]) -> D
     return at.withColumn("finish", F.col("so_far").cast("double") / _weight(weights))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float = BUDGET, seed: str = SEED, tokens: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float = BUDGET, seed: str = SEED, tokens: Column | None = None, few: int = FEW) -> DataFrame:
     """The rows of docs (doc_id, text, source, ...) served within budget (a share of all tokens), by finish time.
 
     All columns, and tokens and virtual_finish (with underscores added if docs has such a
@@ -67,7 +69,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, budget: fl
     """
     if min([DEFAULT_WEIGHT, *weights.values()]) <= 0:
         raise ValueError("weights must be positive")
-    tokens = token_count() if tokens is None else tokens
+    counted = tokens is None
+    tokens = token_count() if counted else tokens
     key = shuffle_key(seed)
     member = lambda n: F.struct(F.col("source"), key.alias("key"), F.substring(key, 1, DIGITS).alias("bucket"), n.alias("tokens")).alias("m")
     keys = stash(docs.select(member(tokens)))
@@ -75,33 +78,56 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, budget: fl
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stash(sums.select("source", "bucket", before.alias("before")))
     timed = stash(_finish(keys, offsets.alias("o"), weights).select("m", "finish"))
-    total, last = timed.agg(F.coalesce(F.sum("m.tokens"), F.lit(0)), F.coalesce(F.max("finish"), F.lit(0.0))).first()
-    limit = int(total * budget)
-    part = F.least(F.floor(F.col("finish") / F.lit(max(last, 1e-300)) * BUCKETS), F.lit(BUCKETS - 1))
-    timed = timed.withColumn("part", part)
-    split, spent = None, 0
-    for row in timed.groupBy("part").agg(F.sum("m.tokens").alias("n")).orderBy("part").collect():  # at most BUCKETS rows
-        if spent + row.n > limit:
-            split = row.part
-            break
-        spent += row.n
-    served = timed
-    if split is not None:
-        running = F.sum("m.tokens").over(Window.partitionBy("part").orderBy("finish", "m.key")) + F.lit(spent)
-        end = timed.where(F.col("part") == split).withColumn("total", running).where(F.col("total") <= limit)
-        end = end.agg(F.max(F.struct("finish", "m.key")).alias("e")).first().e
-        early = F.col("part") < split
-        served = timed.where(early if end is None else early | (F.struct("finish", "m.key") <= F.struct(F.lit(end.finish), F.lit(end.key))))
+    total = timed.agg(F.coalesce(F.sum("m.tokens"), F.lit(0))).first()[0]
+    served = _cut(timed, int(total * budget), few)
     # Within a source, time follows the key: what is served is a prefix of each.
     upto = stash(served.groupBy("m.source").agg(F.max("m.key").alias("upto")))
-    times = served.select(F.col("m.source").alias("source"), F.col("m.key").alias("key"), "finish").distinct()
+    times = served.groupBy(F.col("m.source").alias("source"), F.col("m.key").alias("key")).agg(F.min("finish").alias("finish"), F.min("m.tokens").alias("tokens"))
     names = [free_name(docs, "tokens"), free_name(docs, "virtual_finish")]
-    m, tmp = free_name(docs, "m"), free_name(docs, "finish")
-    rows = docs.select(*docs.columns, F.struct(key.alias("key"), tokens.alias("tokens")).alias(m)).alias("d")
-    rows = rows.join(upto.alias("u"), F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col(f"d.{m}.key") <= F.col("u.upto"))).select("d.*").alias("d")
-    rows = rows.join(times.alias("t"), (F.col(f"d.{m}.key") == F.col("t.key")) & F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", F.col("t.finish").alias(tmp))
-    rows = rows.orderBy(tmp, f"{m}.key")
-    return rows.select(*docs.columns, F.col(f"{m}.tokens").alias(names[0]), F.col(tmp).alias(names[1]))
+    m, tmp, n = free_name(docs, "m"), free_name(docs, "finish"), free_name(docs, "n")
+    # Rows of one key are equal in text, so the default count is known from the first pass; any other Column may differ.
+    rows = docs.select(*docs.columns, key.alias(m), *([] if counted else [tokens.alias(n)])).alias("d")
+    rows = rows.join(upto.alias("u"), F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col(f"d.{m}") <= F.col("u.upto"))).select("d.*").alias("d")
+    rows = rows.join(times.alias("t"), (F.col(f"d.{m}") == F.col("t.key")) & F.col("d.source").eqNullSafe(F.col("t.source")))
+    rows = rows.select("d.*", F.col("t.finish").alias(tmp), *([F.col("t.tokens").alias(n)] if counted else [])).orderBy(tmp, m)
+    return rows.select(*docs.columns, F.col(n).alias(names[0]), F.col(tmp).alias(names[1]))
+
+
+def _cut(timed: DataFrame, limit: int, few: int = FEW) -> DataFrame:
+    """The rows of timed (m, finish) whose running total by (finish, key) is within limit.
+
+    The cut's place is narrowed part by part: an interval of time is cut into BUCKETS equal parts, and the
+    part that the limit falls in is cut again, until it holds few rows. A single time that many rows share is
+    narrowed by the digits of the key in the same way. So no task sorts more than few places, whatever the weights.
+    """
+    here, spent, digits = F.lit(True), 0, 0
+    while True:
+        n, first, last = timed.where(here).agg(F.count("*"), F.min("finish"), F.max("finish")).first()
+        if n <= few or digits >= 32:
+            break
+        if first < last:  # both ends' parts hold rows, so the next part is narrower
+            part = F.least(F.floor((F.col("finish") - first) / F.lit(last - first) * BUCKETS), F.lit(BUCKETS - 1))
+        else:
+            part = F.substring("m.key", digits + 1, DIGITS)
+        found = timed.where(here).groupBy(part.alias("part")).agg(F.sum("m.tokens").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b"))
+        for row in found.orderBy("part").collect():  # at most BUCKETS rows
+            if spent + row.n > limit:
+                break
+            spent += row.n
+        else:
+            return timed  # all of it: a part that is cut again never fits
+        if first < last:
+            here = F.col("finish").between(row.a, row.b)
+        else:
+            here = here & (part == row.part)
+            digits += DIGITS
+    places = timed.where(here).groupBy("finish", "m.key").agg(F.sum("m.tokens").alias("n"))
+    running = places.withColumn("total", F.sum("n").over(Window.orderBy("finish", "key")) + F.lit(spent))
+    begin, end = running.agg(F.min(F.struct("finish", "key")), F.max(F.when(F.col("total") <= limit, F.struct("finish", "key")))).first()
+    if begin is None:
+        return timed
+    at, last = (end or begin), F.col("m.key")
+    return timed.where((F.col("finish") < at.finish) | (F.col("finish") == at.finish) & ((last <= at.key) if end else (last < at.key)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

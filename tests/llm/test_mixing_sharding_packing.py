@@ -53,6 +53,20 @@ def test_mix_is_the_queue_served_one_by_one(spark, sf, budget):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("few", [1, 7])
+def test_cut_narrows_to_few_rows(spark, few):
+    """A source of tiny weight stretches the range of time; many rows without tokens share a time."""
+    rows = [(i, f"s{i % 4}", " ".join(["w"] * (i % 9))) for i in range(1500)] + [(9000 + i, "zero", "") for i in range(300)] + [(5, "s1", "a b")] * 20
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, s, t in rows], DOCS)
+    weights = {"s3": 1e-4, "s0": 1.0, "s1": 1.0}
+    for budget in (0.0, 0.2, 0.5, 0.77, 1.0):
+        want = Counter((rows[i][0], t) for i, t in brute_mix([(i, t, s) for i, s, t in rows], weights, budget).items())
+        got = M.mix_sources(docs, weights, budget, few=few).select("doc_id", "virtual_finish", "tokens").collect()
+        assert Counter((r.doc_id, r.virtual_finish) for r in got) == want
+    served = M.mix_sources(docs, weights, 0.5, few=few, tokens=F.when(F.col("source") == "s2", 3).otherwise(1).cast("long"))
+    assert {r.tokens for r in served.where("source = 's2'").collect()} == {3}
+
+
 def test_mix_shares_follow_weights(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit(9).alias("n_chars"))
     got = M.mix_sources(docs, {"s0": 4.0, "s1": 2.0, "s2": 1.0}, 0.4).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
