@@ -108,11 +108,15 @@ def labelled(spark: SparkSession, sf_dir: str, label: str, bound: int, seed: int
     """At most bound rows of documents with a 0/1 label, as columns of documents and "y".
 
     The labels of least hash are taken, whatever their order; null and other values don't
-    count. The sample has bound rows at most, so broadcasting it is safe at any size.
+    count. The sample has bound rows at most, so broadcasting it is safe at any size. Where a doc_id has several
+    documents or labels, their pairs are rows, of which again the bound of least hash are taken.
     """
     marks = table(spark, sf_dir, "labels").where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     least = least_hashed(marks.select("doc_id", F.col(label).cast("double").alias("y")), bound, marks.count(), seed, "doc_id", "y")
-    return table(spark, sf_dir, "documents").where("text is not null").join(F.broadcast(least), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.where("text is not null").join(F.broadcast(least), "doc_id")
+    count = docs.select("doc_id").join(F.broadcast(least), "doc_id").count()  # ids alone are read
+    return pairs if count <= bound else least_hashed(pairs, bound, count, seed, "doc_id", "y", "text")
 
 
 def least_hashed(rows: DataFrame, bound: int, count: int, seed: int, *cols: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The trained models: accuracy on held-out labels, equality with plain scoring, odd rows."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from quillmill.llm import quality_fm as FM
 from quillmill.llm import quality_rules as QR
 from quillmill.llm import toxicity as TX
-from quillmill.llm.bytekernel import slices
+from quillmill.llm.boosting import constant
+from quillmill.llm.bytekernel import mix, slices, word_hash
 from quillmill.llm.common import labelled
 from quillmill.llm.docstats import LOWERS, NAMES
-from tests.llm.helpers import empty, odd, write
+from tests.llm.helpers import DOCS, empty, odd, write
 
 SF = "/root/testdata/sf0.1"
 CLASH = ("quality_score", "toxicity", "keep", "toxic", "c0", "y", "x")
@@ -46,6 +48,74 @@ def test_toxicity_on_held_out_labels(spark, held_out):
     assert np.mean(flagged) > 0.95
 
 
+LEXICON = {("word", "idiot"): 3.0, ("word", "schäbig"): 2.0, (4, "stup"): 2.75, (5, "moron"): 4.0, ("word", "dumbass"): 3.5}
+
+
+def plain_features(text):
+    """The features with loops over words and bytes."""
+    text = text or ""
+    low, raw = text.lower(), text.encode()
+    fold = dict(zip("013457@$!|", "oieastasii", strict=True))
+    exact, any_, hidden, you, single = [], [], [], [], []
+    joined = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9@$!|\x80-\U0010ffff]+", low)]
+    for m in re.finditer(r"[a-z0-9\x80-\U0010ffff]+", low):
+        w = m.group()
+        b = w.encode()
+        run = next(low[i:j] for i, j in joined if i <= m.start() < j)
+        exact.append(LEXICON.get(("word", w), 0))
+        masked = LEXICON.get(("word", "".join(fold.get(c, c) for c in run)), 0)
+        hidden.append(masked > exact[-1])
+        any_.append(max([exact[-1], masked] + [LEXICON.get((k, b[:k].decode(errors="replace")), 0) for k in (4, 5) if len(b) >= k]))
+        you.append(w in TX.YOU)
+        single.append(len(b) == 1)
+    n, chars = max(len(any_), 1), max(len(raw), 1)
+    hit = [a > 0 for a in any_]
+    near = [h and any(you[max(0, i - TX.NEAR) : i + TX.NEAR + 1]) for i, h in enumerate(hit)]
+    letter = [chr(c).isalpha() or c >= 128 for c in raw]
+    mark = [chr(c) in "@$!*+#%&" for c in raw]
+    odd_ = [m or chr(c).isdigit() and c < 128 for m, c in zip(mark, raw, strict=True)]
+    inside = sum(letter[i - 1] and odd_[i] and letter[i + 1] for i in range(1, len(raw) - 1))
+    upper, cased = sum(65 <= c <= 90 for c in raw), sum(65 <= c <= 90 or 97 <= c <= 122 for c in raw)
+    bang = [c in b"!?" for c in raw]
+    doubled = sum(a and b for a, b in zip(bang, bang[1:], strict=False))
+    return [sum(hit), sum(hit) / n, sum(any_), sum(any_) / n, sum(hidden) / n, sum(near) / n, sum(single) / n, upper / max(cased, 1), sum(bang) / chars, doubled / chars, sum(mark) / chars, inside / chars, np.log1p(len(any_))]
+
+
+def lexicon_model():
+    h = {int(mix(np.array([word_hash(w) ^ k], np.uint64))[0]) if isinstance(k, int) else word_hash(w): v for (k, w), v in LEXICON.items()}
+    keys = sorted(h)
+    return TX.Model(np.array(keys, np.uint64), np.array([h[k] for k in keys]), constant(0.5), np.zeros(0), np.zeros(0))
+
+
+def test_toxic_features_against_loops(spark, sf):
+    texts = ["You IDIOT!! you are stüpid, stupid2", "an 1d10t, i d i o t, $tup1d!", "moronic at a distance of one two three four five you", "!", "!?", "a1", "b", None, "", "x@y a+b", "dumb@$$ du dumba$$", "schäbig!"]
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    for batch in (texts, texts[::-1], docs):
+        got = np.concatenate([lexicon_model().features(s) for s in slices(pa.array(batch, pa.string()))])
+        assert np.allclose(got, [plain_features(t) for t in batch], rtol=1e-5, atol=1e-6)
+
+
+def test_conflicting_labels_are_averaged(spark, tmp_path):
+    """Equal texts of unlike labels: the model doesn't hang on the order of rows."""
+    texts = [f"{'vile wretch' if i % 4 == 0 else 'mild person'} number {i // 2} says so" for i in range(800)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(2000 + i, texts[0], "en", "s", 9) for i in range(6)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(800)] + [(2000 + i, 1, i % 2) for i in range(6)]
+    found = []
+    for name, turn in (("a", 1), ("b", -1)):
+        folder = write(spark.createDataFrame(rows[::turn], DOCS), tmp_path / name, "documents")
+        write(spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int"), tmp_path / name, "labels")
+        m = TX.train(spark, folder)
+        found.append((m.hashes.tolist(), m.trees.value.tolist(), m.values.tolist()))
+    assert found[0] == found[1] and found[0][0]
+
+
+def test_repeated_documents_keep_the_bound(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    folder = write(docs.crossJoin(spark.range(30)).drop("id"), tmp_path, "documents")
+    write(docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), tmp_path, "labels")
+    assert labelled(spark, folder, "quality", 50).count() == 50
+
+
 def test_trained_the_same_twice(spark, sf):
     a, b = QR.train(spark, sf), QR.train(spark, sf)
     assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.value, b.value)
