@@ -30,10 +30,13 @@ from quillmill.llm.common import bound_batches, least_hashed, table
 TRAIN_PAGES = 2_000
 EVIDENCE, ADJACENT, SIBLING = 3.0, 0.8, 0.6
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--|<[!?]|<(script|style)(?=[\s/>])", re.I)
+_SHUT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _HIDDEN = re.compile(r"<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|copyright|footer|header|login|menu|nav\w*|newsletter|pagination|popup|promo\w*|related|search|share|sidebar|social|sponsor\w*|subscribe|tags?|widget)\b", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
+_HINT = re.compile(r"\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|copyright|footer|header|login|menu|nav\w*|newsletter|pagination|popup|promo\w*|related|search|share|sidebar|social|sponsor\w*|subscribe|tags?|widget)\b", re.I)
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: A head's opening and the elements that only a head has; what ends a head whose content goes on.
 _HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:\s|<(?:meta|link|base)(?=[\s/>])[^>]*>|<title(?=[\s/>])[^>]*>[^<]*</title\s*>)*", re.I)
@@ -47,12 +50,13 @@ N_FEATURES = 8 + len(_KINDS)
 
 
 class Block:
-    """text, words, those in links, path: (number, tag) of the open elements, side: +1 in a content element, -1 in boilerplate, hint."""
+    """text, (words, tag of its kind), words in links, depth: of open block elements, shared: how many of these the block before has too,
+    parent: number of the last but one, 0 for none, side: +1 in a content element, -1 in boilerplate, hint."""
 
-    __slots__ = ("hint", "links", "path", "side", "text", "words")
+    __slots__ = ("depth", "hint", "links", "parent", "shared", "side", "text", "words")
 
-    def __init__(self, text: str, links: int, path: tuple[int, ...], tag: str, side: int, hint: bool) -> None:
-        self.text, self.links, self.path, self.side, self.hint = text, links, path, side, hint
+    def __init__(self, text: str, tag: str, links: int, depth: int, shared: int, parent: int, side: int, hint: bool) -> None:
+        self.text, self.links, self.depth, self.shared, self.parent, self.side, self.hint = text, links, depth, shared, parent, side, hint
         self.words = (len(text.split()), tag)
 
 
@@ -66,6 +70,66 @@ def _without(page: str, spans: list[tuple[int, int]]) -> str:
     return "".join((*out, page[at:]))
 
 
+def _dropped(page: str) -> str:
+    """page with a space for each comment, declaration, script and style. Each is found once, from its start to its end."""
+    out, kept, at, last = [], 0, 0, page.rfind(">")
+    while m := _DROP.search(page, at):
+        if m.group() == "<!--":
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif m.end() > last:
+            at = m.end()
+            continue
+        else:
+            end = page.find(">", m.end()) + 1
+            if m.group(1):
+                shut = _SHUT[m.group(1).lower()].search(page, end)
+                end = shut.end() if shut else len(page)
+        out += (page[kept : m.start()], " ")
+        kept = at = end
+    out.append(page[kept:])
+    return "".join(out)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """start, end, whether it closes, name, attributes of each tag. An end sign in quotes doesn't end a tag; what has no end is text.
+
+    A quote that an unended tag opened is remembered, and so is the next quote or end sign, so the page is gone through a constant few times.
+    """
+    dead: set[int] = set()
+    none: dict[str, int] = {}
+    at = ahead = 0  # ahead: the first quote or end sign from where it was last looked for
+    looked = -1
+    while m := _TAG.search(page, at):
+        i, way, end = m.end(), [], -1
+        while True:
+            if not looked <= i <= ahead:
+                found = _STOP.search(page, i)
+                looked, ahead = i, found.start() if found else len(page)
+            if ahead == len(page):
+                break
+            if page[ahead] == ">":
+                end = ahead + 1
+                break
+            quote = page[ahead]
+            if ahead in dead:
+                break
+            way.append(ahead)
+            close = -1 if none.get(quote, len(page)) <= ahead else page.find(quote, ahead + 1)
+            if close < 0:
+                none[quote] = min(none.get(quote, len(page)), ahead)
+                break
+            i = close + 1
+        if end < 0:
+            dead.update(way)
+            if not way and ahead == len(page):
+                return  # no end sign is left
+            at = m.end()
+            continue
+        yield m.start(), end, bool(m.group(1)), m.group(2).lower(), page[m.end() : end - 1]
+        at = end
+
+
 def visible(page: str) -> str:
     """page without comments, scripts and styles, which run to the end if unclosed, and without hidden elements and the head.
 
@@ -73,7 +137,7 @@ def visible(page: str) -> str:
     ends at its end tag if that comes before the body or a block element, else after the elements that only a
     head has.
     """
-    page = _DROP.sub(" ", page)
+    page = _dropped(page)
     spans: list[tuple[int, int]] = []
     opened: dict[str, list[int]] = {"noscript": [], "template": [], "svg": []}
     for m in _HIDDEN.finditer(page):
@@ -86,7 +150,7 @@ def visible(page: str) -> str:
     if spans:
         page = _without(page, spans)
     spans, end = [], None
-    for m in _HEAD.finditer(page):
+    for m in _HEAD.finditer(page, 0, page.rfind(">") + 1):
         if not spans or end and end.start() < m.end():
             end = _HEAD_END.search(page, m.end())
         spans.append((m.start(), end.end() if end and end.group(1) else m.end()))
@@ -94,57 +158,66 @@ def visible(page: str) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order; never fails, whatever the markup."""
+    """The page's blocks of text in order, whatever the markup, in time in proportion to its length."""
     page = visible(page)
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, hint
+    # Open elements: tag, and of it and those around it: side, tag of a kind, hint.
+    stack: list[tuple[str, int, str, bool]] = []
+    block_at: list[int] = []  # places in the stack of block elements
+    numbers = [0]  # theirs, after one for the page
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    links = at = number = 0
+    links = at = number = shared = 0
     in_link = False
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, shared
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            side = next((1 if t in _GOOD else -1 for t, _, _ in reversed(stack) if t in _GOOD or t in _BAD), 0)
-            tag = next((t for t, _, _ in reversed(stack) if t in _KIND), "div")
-            out.append(Block(text, links, tuple(n for t, n, _ in stack if t in _BLOCK), tag, side, any(h for _, _, h in stack)))
+            _, side, tag, hint = stack[-1] if stack else ("", 0, "div", False)
+            depth = len(block_at)
+            out.append(Block(text, tag, links, depth, min(shared, depth), numbers[-2] if depth > 1 else 0, side, hint))
+            shared = depth
         parts.clear()
         links = 0
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def shut(to: int) -> None:
+        nonlocal shared
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
+        while block_at and block_at[-1] >= to:
+            block_at.pop()
+            numbers.pop()
+        shared = min(shared, len(block_at))
+
+    for start, end, closing, tag, attrs in tags(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 links += len(piece.split())
-        at = m.end()
-        closing, tag, attrs = m.group(1), m.group(2).lower(), m.group(3)
+        at = end
+        inner = block_at[-1] if block_at else -1
         if tag in _BLOCK:
             flush()
         if closing:
             if tag == "a":
                 in_link = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK and tag not in _BLOCK:
-                    break  # an inline end tag closes nothing outside its block
+            # An inline end tag closes nothing outside its block.
+            if places.get(tag) and (tag in _BLOCK or places[tag][-1] > inner):
+                shut(places[tag][-1])
         elif tag not in _VOID and not attrs.rstrip().endswith("/"):
-            shut = _CLOSES.get(tag)
-            if shut:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
+            if tag in _CLOSES and inner >= 0 and stack[inner][0] in _CLOSES[tag]:
+                shut(inner)
             if tag in _BLOCK:
-                while stack and stack[-1][0] not in _BLOCK:
-                    stack.pop()  # inline elements left open don't reach into the next block
-            number += 1
-            stack.append((tag, number, bool(attrs) and _HINT.search(attrs) is not None))
+                shut(block_at[-1] + 1 if block_at else 0)  # inline elements left open don't reach into the next block
+                block_at.append(len(stack))
+                number += 1
+                numbers.append(number)
+            _, side, kind, hint = stack[-1] if stack else ("", 0, "div", False)
+            side = 1 if tag in _GOOD else -1 if tag in _BAD else side
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, side, tag if tag in _KIND else kind, hint or bool(attrs) and any(_HINT.search(a) for a in _ATTR.findall(attrs))))
             if tag == "a":
                 in_link = True
     parts.append(page[at:])
@@ -168,30 +241,25 @@ def ties(bs: list[Block]) -> list[tuple[int, int, float]]:
     out: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
-        p = b.path
         if i:
-            q = bs[i - 1].path
-            same = 0
-            for u, v in zip(p, q, strict=False):
-                if u != v:
-                    break
-                same += 1
-            out.append((i - 1, i, ADJACENT / (1 + max(len(p) + len(q) - 2 * same - 1, 0))))
-        parent = p[-2] if len(p) > 1 else 0
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, SIBLING))
-        elif parent in last:
-            out.append((i - 1, i, SIBLING))
-        last[parent] = i
+            out.append((i - 1, i, ADJACENT / (1 + max(b.depth + bs[i - 1].depth - 2 * b.shared - 1, 0))))
+        if b.parent in last:
+            out.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
     return out
 
 
+_EPS = 1e-12
+
+
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The source side of the least minimum cut: node i costs gain[i] on the sink side if positive, -gain[i] on the
     source side if negative, and an edge its weight if cut.
 
-    A node whose gain outweighs all its edges is on its terminal's side of every minimum cut;
-    those are settled first, over and over, and max-flow by shortest augmenting paths does the rest.
+    A node whose gain outweighs all its edges is on its terminal's side of the least minimum cut;
+    those are settled first, over and over. A node of one edge then sends what flow it has or wants through it: if the edge
+    carries that, the node is on its neighbour's side, else on its own. Max-flow by blocking flows does the rest, for
+    each connected component by itself.
     """
     n = len(gain)
     gain = list(gain)
@@ -202,50 +270,100 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             near[j][i] = near[j].get(i, 0.0) + w
     side: list[bool | None] = [None] * n
     tied = [sum(d.values()) for d in near]
+    follows: list[tuple[int, int]] = []
+    gone = [False] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if side[i] is not None or abs(gain[i]) <= tied[i] + 1e-12:
+        if gone[i]:
             continue
-        side[i] = gain[i] > 0
-        for j, w in near[i].items():
-            if side[j] is None:
+        if gain[i] > tied[i] + _EPS or -gain[i] >= tied[i] - _EPS:
+            side[i] = gain[i] > 0
+            for j, w in near[i].items():
                 gain[j] += w if side[i] else -w
-                tied[j] -= w
-                todo.append(j)
-    rest = [i for i in range(n) if side[i] is None]
-    if rest:
-        s, t = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: {j: w for j, w in near[i].items() if side[j] is None} for i in rest}
-        cap[s], cap[t] = {}, {}
-        for i in rest:
-            if gain[i] > 0:
-                cap[s][i], cap[i][s] = gain[i], 0.0
-            elif gain[i] < 0:
-                cap[i][t], cap[t][i] = -gain[i], 0.0
-        while True:
-            back = {s: s}
-            queue = deque([s])
-            while queue and t not in back:
-                u = queue.popleft()
-                for v, c in cap[u].items():
-                    if c > 1e-12 and v not in back:
-                        back[v] = u
-                        queue.append(v)
-            if t not in back:
-                break
-            path = [t]
-            while path[-1] != s:
-                path.append(back[path[-1]])
-            flow = min(cap[v][u] for u, v in zip(path, path[1:], strict=False))
-            for u, v in zip(path, path[1:], strict=False):
-                cap[v][u] -= flow
-                cap[u][v] = cap[u].get(v, 0.0) + flow
-        for i in rest:
-            side[i] = i in back
+        elif len(near[i]) == 1:
+            (j,) = near[i]
+            gain[j] += gain[i]
+            follows.append((i, j))
+        else:
+            continue
+        gone[i] = True
+        for j, w in near[i].items():
+            del near[j][i]
+            tied[j] = sum(near[j].values()) if len(near[j]) < 4 else tied[j] - w
+            todo.append(j)
+    for start in range(n):
+        if gone[start]:
+            continue
+        part, queue = [start], deque([start])
+        gone[start] = True
+        while queue:
+            for j in near[queue.popleft()]:
+                if not gone[j]:
+                    gone[j] = True
+                    part.append(j)
+                    queue.append(j)
+        up = _flow(part, gain, near)
+        for i in part:
+            side[i] = i in up
+    for i, j in reversed(follows):
+        side[i] = side[j]
     return [bool(x) for x in side]
 
 
+def _flow(part: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
+    """The nodes of a component that the source still reaches after a maximum flow."""
+    source, sink = [i for i in part if gain[i] > 0], [i for i in part if gain[i] < 0]
+    if not source or not sink:
+        return set(source and part if not sink and sum(gain[i] for i in source) > _EPS else ())
+    give, want = {i: gain[i] for i in source}, {i: -gain[i] for i in sink}
+    cap = {i: dict(near[i]) for i in part}
+    while True:
+        # Levels from the nodes that have flow left; a phase goes no deeper than the nearest that want some.
+        level = dict.fromkeys((i for i in source if give[i] > _EPS), 0)
+        edge, reached = list(level), False
+        while edge and not reached:
+            after = []
+            for u in edge:
+                if want.get(u, 0.0) > _EPS:
+                    reached = True
+                for v, c in cap[u].items():
+                    if c > _EPS and v not in level:
+                        level[v] = level[u] + 1
+                        after.append(v)
+            edge = after
+        if not reached:
+            return set(level)
+        left = {u: iter(list(cap[u])) for u in level}
+        for s in [i for i in source if give[i] > _EPS]:
+            path = [s]
+            while path:
+                u = path[-1]
+                if want.get(u, 0.0) > _EPS:
+                    flow = min([give[s], want[u], *(cap[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    give[s] -= flow
+                    want[u] -= flow
+                    keep = len(path)
+                    for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                        cap[a][b] -= flow
+                        cap[b][a] += flow
+                        if cap[a][b] <= _EPS:
+                            keep = min(keep, k + 1)
+                    if give[s] <= _EPS:
+                        break
+                    # On from before the first edge that is full; an end that has enough may lead on.
+                    del path[keep:]
+                    if keep < len(path) + 1 and path:
+                        left[path[-1]] = iter(list(cap[path[-1]]))
+                    continue
+                for v in left[u]:
+                    if cap[u][v] > _EPS and level.get(v, -1) == level[u] + 1:
+                        path.append(v)
+                        break
+                else:
+                    path.pop()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])

@@ -86,3 +86,41 @@ def test_cases(spark):
     assert len(by[3].text) > 200_000 and "long enough" in by[4].text and by[4].n_content < 10
     assert len({(r.text, r.n_blocks) for r in got if r.page_id == 5}) == 1
     assert H.extract(df.limit(0), H.train(df.limit(0))).count() == 0
+
+
+MB = 1 << 20
+HARD = {
+    "nested": "<div>x" * (MB // 6), "unended tags": "<a " * (MB // 3), "unended quotes": "<a \"<b '" * (MB // 8), "declarations": "<!x" * (MB // 3), "scripts": "<script " * (MB // 8), "heads": "<head " * (MB // 6),
+    "unmatched ends": "<div>" * (MB // 10) + "</p>" * (MB // 8), "inline ends": "<b><div>" + "<i>" * (MB // 6) + "</b>" * (MB // 8), "attributes": "<a " + "class=" * (MB // 6) + ">",
+    "ambiguous": "".join(f"<p>{'word ' * (3 + i % 9)}{'.' * (i % 3)}<div><b>y{i}</b>, z</div>" for i in range(MB // 70)), "paragraphs": "<p>x" * (MB // 4),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_a_megabyte_of_hard_markup(name):
+    """In time and memory in proportion to the page."""
+    import resource
+    import time
+
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    bs = H.blocks(HARD[name])
+    on = H.label(bs, H.features(bs) @ np.random.default_rng(0).normal(size=H.N_FEATURES)) if bs else []
+    assert len(on) == len(bs) and time.process_time() - began < 20  # under 7 s here
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024
+
+
+@pytest.mark.parametrize("kind", ["chain", "triangles"])
+def test_a_large_ambiguous_graph_is_cut(kind):
+    """As a chain has it by dynamic programming over two sides; triangles by the condition that no single flip pays."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    gain = rng.normal(0, 1, n)
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)] + ([(i, i + 2, 0.6) for i in range(0, n - 2, 2)] if kind == "triangles" else [])
+    side = np.array(H.min_cut(gain.tolist(), edges))
+    cost = np.maximum(gain, 0)[~side].sum() + np.maximum(-gain, 0)[side].sum() + sum(w for i, j, w in edges if side[i] != side[j])
+    arc = {j: (i, w) for i, j, w in edges if j == i + 2}
+    state = {(a, b): (max(-gain[0], 0) if a else max(gain[0], 0)) + (max(-gain[1], 0) if b else max(gain[1], 0)) + (a != b) for a in (0, 1) for b in (0, 1)}
+    for i in range(2, n):
+        w = arc[i][1] if i in arc else 0.0
+        state = {(b, c): min(state[a, b] + w * (a != c) for a in (0, 1)) + (b != c) + (max(-gain[i], 0) if c else max(gain[i], 0)) for b in (0, 1) for c in (0, 1)}
+    assert cost == pytest.approx(min(state.values()))
