@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from quillmill.llm import ann, chat, html_cut, mixing, near_dedup, packing, quality_fm, quality_rules, sharding, toxicity
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # the script at the repository's top; the package itself needs no such path
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": quality_fm.query,
     "op2_near_dedup": near_dedup.query,
@@ -20,6 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": sharding.query,
     "op9_pack": packing.query,
     "op10_quality_rules": quality_rules.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.SQL}
