@@ -32,15 +32,20 @@ def dedup_lines(df: DataFrame, col: str) -> DataFrame:
 
 
 def strip_exam_headers(df: DataFrame, col: str) -> DataFrame:
-    """Without page number lines, and without header lines but for the first of each wording."""
-    df = df.withColumn(_LINES, split_lines(F.col(col))).withColumn("__bare", F.transform(_LINES, T.strip))
-    bare = F.col("__bare")
+    """Without page number lines, and without header lines but for the first of each wording.
 
-    def keep(x: Column, i: Column) -> Column:
-        s = T.strip(x)
-        return ~s.rlike(T.PAGE_LINE) & F.when(s.rlike(T.HEADER_LINE), F.array_position(bare, s) == i + 1).otherwise(True)
-
-    return df.withColumn(col, F.array_join(F.filter(_LINES, keep), "\n")).drop(_LINES, "__bare")
+    Headers are sorted by wording to find the first of each, and merged with the other lines by place: no line is looked up among all.
+    """
+    numbered = F.transform(split_lines(F.col(col)), lambda x, i: F.struct(i.alias("i"), x.alias("x"), T.strip(x).alias("s")))
+    kind = F.transform(numbered, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"), e["s"].alias("s"), F.when(e["s"].rlike(T.PAGE_LINE), 2).when(e["s"].rlike(T.HEADER_LINE), 1).otherwise(0).alias("k")))
+    df = df.withColumn(_LINES, kind)
+    heads = F.array_sort(F.transform(F.filter(_LINES, lambda e: e["k"] == 1), lambda e: F.struct(e["s"].alias("s"), e["i"].alias("i"), e["x"].alias("x"))))
+    df = df.withColumn("__heads", heads)
+    first = F.filter("__heads", lambda e, i: (i == 0) | (e["s"] != F.get("__heads", i - 1)["s"]))
+    place = lambda a: F.transform(a, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))
+    other = place(F.filter(_LINES, lambda e: e["k"] == 0))
+    kept = F.when(F.size("__heads") > 0, F.array_sort(F.concat(other, place(first)))).otherwise(other)
+    return df.withColumn(col, F.array_join(F.transform(kept, lambda e: e["x"]), "\n")).drop(_LINES, "__heads")
 
 
 def _join(rows: DataFrame, keys: list[str], rest: list[str], col: str, order: str, line: str) -> DataFrame:

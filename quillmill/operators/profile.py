@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions import text as T
+from quillmill.functions.parity import EXAM
 
 PAGE_TYPES = ("scanned", "image_heavy", "table_heavy", "mixed", "text_rich")
 ROUNDS = dict(huge=1, large=2, medium=3, small=4)
@@ -51,9 +51,10 @@ def detect_poster(pages: DataFrame, elements: DataFrame, doc: str, page: str) ->
 
 
 def detect_exam(pages: DataFrame, doc: str, page: str) -> DataFrame:
-    """doc, exam: an exam's marks on one of the first five pages."""
+    """doc, exam: an exam's marks on one of the first five pages. Marks are looked for before the pages move, so no text does."""
+    marked = pages.select(doc, page, F.coalesce(F.col("text").rlike(EXAM), F.lit(False)).alias("__mark"))
     first = F.row_number().over(Window.partitionBy(doc).orderBy(page)) <= 5
-    return pages.withColumn("__first", first).groupBy(doc).agg(F.bool_or(F.col("__first") & F.col("text").rlike(T.EXAM)).alias("exam"))
+    return marked.withColumn("__first", first).groupBy(doc).agg(F.bool_or(F.col("__first") & F.col("__mark")).alias("exam"))
 
 
 def size_tier(n: Column) -> Column:

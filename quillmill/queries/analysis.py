@@ -72,7 +72,10 @@ def detect_poster(spark, d):
 _EXAMS = "CASE doc_id % 40 WHEN 3 THEN 'GATE 2024 ' WHEN 17 THEN 'q.12 ' WHEN 31 THEN 'PART A 20 Marks' ELSE '' END||substr(text, 1, 40)"
 
 
-@query("detect_exam", f"SELECT doc_id // 8 AS doc, bool_or(regexp_matches(t, '{T.EXAM}') AND n <= 5) AS exam FROM (SELECT doc_id, {_EXAMS} AS t, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n FROM documents) GROUP BY 1")
+_MARKS = r"(?i)Maximum\s+Marks|Q[.]?\s*[0-9]+\b|(GATE|ESE|IES)\s+[0-9]{4}|UPSC\s+(IES|ESE)|JEE.{0,20}(Main|Advanced)|(PART|PAPER)\s+[0-9A-Z]\b.*Marks"
+
+
+@query("detect_exam", f"SELECT doc_id // 8 AS doc, bool_or(regexp_matches(t, '{_MARKS}') AND n <= 5) AS exam FROM (SELECT doc_id, {_EXAMS} AS t, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n FROM documents) GROUP BY 1")
 def detect_exam(spark, d):
     return P.detect_exam(_grouped(spark, d, 8).join(table(spark, d, "documents").select("doc_id", F.expr(_EXAMS).alias("exam_text")), "doc_id").withColumn("text", F.col("exam_text")), "doc", "page")
 

@@ -43,15 +43,29 @@ _scalar("strip_think_reply", T.strip_think_reply, strip_sql(_RX(_RX("m", "<think
 _scalar("normalize_ws", T.normalize_ws, ws_sql("m"))
 _OCR = r"(select string_agg(l, chr(10) order by i) from (select unnest(ls) as l, generate_subscripts(ls, 1) as i from (select string_split(regexp_replace(m, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(10)) as ls)) where not (regexp_full_match(" + strip_sql("l") + r", '\d{1,4}') or length(" + strip_sql("l") + ") in (1, 2)))"
 _scalar("clean_ocr", T.clean_ocr, strip_sql(_RX(_OCR, *_THREE)))
-_LIG = "m"
-for _k, _v in T.LIGATURES.items():
-    _LIG = f"replace({_LIG}, '{_k}', '{_v}')"
-_LIG = "translate(" + _LIG + f", '{T.QUOTES[0]}', '" + T.QUOTES[1].replace("'", "''") + "')"
+_LIG = """translate(replace(replace(replace(replace(replace(m, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '‘’“”–—', '''''""--')"""
 _scalar("normalize_ligatures", T.normalize_ligatures, _LIG)
-_BOIL = _LIG
-for _p in T.BOILERPLATE:
+#: Markdown behind a publisher's lines. The SQL has literals of its own, so a pattern that departs shows.
+_PUBLISHED = (
+    "'Department of Health Research'||NL||'STANDARD TREATMENT WORKFLOW (STW) for '||lang||NL||'May 2022 https://a.b/c'||NL||CASE WHEN doc_id % 3 = 0 THEN 'This STW has been prepared by national experts of '||lang||NL||'with feasibility'"
+    "||NL||'visit our web portal (stw.icmr.org.in) for more'||NL ELSE 'stw.icmr.org.in https://d.e'||NL END||'3. 4. Smith J, a paper'||NL||'5. Jones K. Some title. Lancet 2020'||NL||'6. Plain item kept'||NL||'7. http://x.y'||NL"
+    "||'© Indian Council of Medical Research 2022'||NL||'Kindly visit our web portal now'||NL||'Ministry of Health and Family Welfare Government of India'||NL||'ﬁne “quotes”'||NL||m"
+).replace("NL", "chr(10)")
+_BOIL = _LIG.replace("(m,", f"({_PUBLISHED},")
+for _p in (
+    r"Department of Health Research\s*", r"Ministry of Health and Family Welfare,?\s*Government of India\s*", r"Standard Treatment Work[0-9a-z_]*\s*[(]STW[)][^\n]*\n?",
+    r"(January|February|March|April|May|June|July|August|September|October|November|December)[/ ]+[0-9]{4}\s*", r"This STW has been prepared by national experts.*?web portal[^\n]*[(]stw[.]icmr[.]org[.]in[)][^\n]*\n?",
+    r"© Indian Council of Medical Research[^\n]*\n?", r"Kindly visit our web portal[^\n]*\n?", r"stw[.]icmr[.]org[.]in\s*", r"^\s*[0-9]+[.]\s+[0-9]+[.]\s+[a-z]{2,}[^\n]+\n?",
+    r"^\s*[0-9]+[.]\s+[a-z]{2,}[^\n]+(doi|ncbi|pubmed|uptodate[.]com|Am Fam|J Am|European|Lancet)[^\n]*\n?", r"^\s*[0-9]+[.]\s+https?:[/]{2}[^\n]+\n?", r"^\s*https?:[/]{2}[^\n]+\n?",
+):
     _BOIL = f"regexp_replace({_BOIL}, '(?ims){_p}', '', 'g')"
-_scalar("strip_boilerplate", T.strip_boilerplate, _BOIL)
+
+
+@query("strip_boilerplate", f"WITH {MD} SELECT doc_id, {_BOIL} AS result FROM md")
+def strip_boilerplate(spark, d):
+    return markdown(spark, d).select("doc_id", T.strip_boilerplate(F.expr(_PUBLISHED)).alias("result"))
+
+
 _scalar("clean_artifacts", T.clean_artifacts, _RX(_RX(_RX(_RX("m", r"(?:\n\.){3,}", "\n"), r"(?m)^\.$"), "(?is)<math(?:[^>]*)>(?:.*?)Digitized(?:.*?)</math>"), *_FOUR))
 _FENCED = "'```markdown'||chr(10)||m||chr(10)||'```'||chr(10)||text"
 
@@ -133,8 +147,9 @@ def dedup_lines(spark, d):
     return L.dedup_lines(markdown(spark, d).select("doc_id", F.col("m").alias("result")), "result")
 
 
-_HEADER = T.HEADER_LINE
-_EXAM_SQL = f"SELECT doc_id, {_AGG} AS result FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY pos) AS nth FROM (SELECT *, {strip_sql('line')} AS s FROM l)) WHERE NOT regexp_matches(s, '{T.PAGE_LINE}') AND (NOT regexp_matches(s, '{_HEADER}') OR nth = 1) GROUP BY doc_id"
+_HEADER = r"(?i)^(GATE\s+[0-9]{4}|ESE\s+[0-9]{4}|IES\s+[0-9]{4}|JEE\s*(Main|Advanced)?|[NI]IT\s+\w+|IISc(\s+Bengaluru)?|Electrical\s+Engineering\s*[(]?EE[0-9]*[)]?|Computer\s+Science\s*[(]?CS[0-9]*[)]?|Organizing\s+Institute\s*:.*)\s*$"
+_PAGE = r"(?i)^page\s+[0-9]+\s+of\s+[0-9]+\s*$"
+_EXAM_SQL = f"SELECT doc_id, {_AGG} AS result FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY pos) AS nth FROM (SELECT *, {strip_sql('line')} AS s FROM l)) WHERE NOT regexp_matches(s, '{_PAGE}') AND (NOT regexp_matches(s, '{_HEADER}') OR nth = 1) GROUP BY doc_id"
 
 
 @query("strip_exam_headers", f"WITH {MD}, {_LINES} {_EXAM_SQL}")
