@@ -1,13 +1,17 @@
 """The contract of a model-backed step, and deterministic stand-ins.
 
 A step is a function from a list of strings to a list of results or exceptions. It runs in
-Arrow batches with mapInPandas-like streaming, is loaded once a worker, and never fails a job: each row gets
-struct(ok, value, error).
+Arrow batches, CALL rows a call, is loaded once a worker, and never fails a job: each row gets
+struct(ok, value, error). A call that fails or takes too long is repeated row by row, so one bad row spoils no other;
+after STALLED rows in turn without an answer the rest of a call's rows aren't tried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import queue
+import threading
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,25 +19,101 @@ from pyspark.sql import functions as F
 
 TEXT = "ok boolean, value string, error string"
 VERDICT = "ok boolean, score double, gaps array<string>, action string, error string"
-
-
-def run_model(df: DataFrame, col: str, step: Callable[[list], list], schema: str, name: str) -> DataFrame:
-    """df with the step's results for col as a struct column name."""
+CALL, STALLED = 64, 3
+
+
+def timed(call: Callable[[], object], seconds: float | None):
+    """call's result; TimeoutError after so many seconds. The call itself can't be ended: it is left to its thread."""
+    if seconds is None:
+        return call()
+    got: queue.Queue = queue.Queue()
+
+    def work() -> None:
+        try:
+            got.put((True, call()))
+        except BaseException as e:  # noqa: BLE001 - handed to the caller
+            got.put((False, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        ok, value = got.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer in {seconds:g} s") from None
+    if not ok:
+        raise value
+    return value
+
+
+def streamed(tokens: Callable[[], Iterable[str]], seconds: float, stall: float) -> str:
+    """The joined tokens of a model that streams; TimeoutError after so many seconds in all, or stall seconds of silence after its first token.
+
+    Silence before the first token is a model that loads, not a stall.
+    """
+    got: queue.Queue = queue.Queue()
+
+    def work() -> None:
+        try:
+            for t in tokens():
+                got.put((True, t))
+            got.put((True, None))
+        except BaseException as e:  # noqa: BLE001 - handed to the caller
+            got.put((False, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    out: list[str] = []
+    end = time.monotonic() + seconds
+    while True:
+        left = end - time.monotonic()
+        try:
+            ok, token = got.get(timeout=max(0.0, min(left, stall) if out else left))
+        except queue.Empty:
+            if time.monotonic() >= end:
+                raise TimeoutError(f"no end in {seconds:g} s") from None
+            raise TimeoutError(f"stalled after {len(out)} tokens: silent for {stall:g} s") from None
+        if not ok:
+            raise token
+        if token is None:
+            return "".join(out).strip()
+        if token:
+            out.append(token)
+
+
+def answers(step: Callable[[list], list], items: list, seconds: float | None = None) -> list:
+    """A result or an exception for each item."""
+    try:
+        got = list(timed(lambda: step(items), None if seconds is None else seconds * max(len(items), 1)))
+        if len(got) == len(items):
+            return got
+        raise ValueError(f"{len(got)} answers to {len(items)} rows")
+    except Exception as e:  # noqa: BLE001 - a model's failure is a result
+        if len(items) <= 1:
+            return [e] * len(items)
+    out: list = []
+    late = 0
+    for x in items:
+        if late >= STALLED:
+            out.append(TimeoutError(f"not tried after {STALLED} rows without an answer"))
+            continue
+        (r,) = answers(step, [x], seconds)
+        late = late + 1 if isinstance(r, TimeoutError) and seconds is not None else 0
+        out.append(r)
+    return out
+
+
+def run_model(df: DataFrame, col: str, step: Callable[[list], list], schema: str, name: str, seconds: float | None = None) -> DataFrame:
+    """df with the step's results for col as a struct column name. seconds: the most a row may take."""
     fields = [f.split()[0] for f in schema.split(", ")]
 
     @F.pandas_udf(schema)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            try:
-                results = step(batch.tolist())
-            except Exception as e:  # noqa: BLE001 - a model's failure is a result
-                results = [e] * len(batch)
-            for r in results:
-                if isinstance(r, Exception):
-                    out.append(dict.fromkeys(fields) | {"ok": False, "error": f"{type(r).__name__}: {r}"})
-                else:
-                    out.append(dict.fromkeys(fields) | {"ok": True} | (r if isinstance(r, dict) else {"value": r}))
+            out, items = [], batch.tolist()
+            for at in range(0, len(items), CALL):
+                for r in answers(step, items[at : at + CALL], seconds):
+                    if isinstance(r, Exception):
+                        out.append(dict.fromkeys(fields) | {"ok": False, "error": f"{type(r).__name__}: {r}"})
+                    else:
+                        out.append(dict.fromkeys(fields) | {"ok": True} | (r if isinstance(r, dict) else {"value": r}))
             yield pd.DataFrame(out, columns=fields)
 
     return df.withColumn(name, call(F.col(col)))
@@ -61,6 +141,11 @@ def failing_stub(texts: list) -> list:
     return [RuntimeError("engine not installed") if len(t or "") % 2 else "[first] " + (t or "").strip() for t in texts]
 
 
+def format_stub(texts: list) -> list:
+    """Takes fences off; cuts texts of a length divisible by 5 to ten characters, fails on lengths of 3 more than a multiple of 7."""
+    return [RuntimeError("server gone") if len(t) % 7 == 3 else t[:10] if len(t) % 5 == 0 else "<think>so</think>" + t.replace("```", "") for t in texts]
+
+
 def page_stub(path: str, content: bytes) -> list[dict]:
     """One page a file: its size for a text."""
     return [{"page_num": 0, "text": f"{len(content)} bytes"}]

@@ -72,6 +72,22 @@ def cascade(df: DataFrame, col: str, engines: list[Step], name: str) -> DataFram
     return reduce(DataFrame.unionByName, [*done, last])
 
 
+def format_documents(docs: DataFrame, col: str, step: Step, chars: int = 3 * 32_768, seconds: float | None = None) -> DataFrame:
+    """docs with col cleaned by a formatting model where it needs it.
+
+    The model sees the first chars characters; what is beyond is put behind its answer. A text that needs no
+    formatting isn't sent. A failed, empty or late answer, and one that loses too much, leaves the text as it was.
+    """
+    text, sent = F.col(col), F.left(F.col(col), F.lit(chars))
+    needs = F.coalesce(T.needs_format(text), F.lit(False))
+    asked = run_model(docs.where(needs).withColumn("__in", sent), "__in", step, TEXT, "__r", seconds)
+    said = F.when(F.col("__r.ok"), F.nullif(T.strip_think_reply(F.col("__r.value")), F.lit("")))
+    whole = F.concat(said, F.when(F.length(text) > chars, F.concat(F.lit("\n\n"), F.substring(text, chars + 1, 1 << 30))).otherwise(""))
+    good = said.isNotNull() & T.content_loss_ok(F.col("__in"), said)
+    done = asked.withColumn(col, F.when(good, whole).otherwise(text)).select(*docs.columns)
+    return docs.where(~needs).unionByName(done)
+
+
 def split_by_judge(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages for a vision judge, and those that word recall can judge."""
     vision = F.col("page_type").isin("image_heavy", "mixed", "scanned")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillmill import config
 from quillmill.functions import paths as H
 from quillmill.models import stubs as M
 from quillmill.operators import history as C
@@ -14,8 +15,9 @@ from quillmill.operators import registry as Y
 from quillmill.operators import render as R
 from quillmill.plans import catalog as K
 from quillmill.plans import extraction as X
-from quillmill.queries.analysis import EL, elements
+from quillmill.queries.analysis import EL, elements, structure_sql
 from quillmill.queries.base import MD, PAGES, TYPE_SQL, markdown, pages, query, strip_sql, table
+from quillmill.queries.text import words_sql
 from quillmill.sinks import files as S
 from quillmill.sources import files as Z
 
@@ -299,23 +301,71 @@ def route_dispatch(spark, d):
     return R.join_pages(X.extract(routed, M.STUBS), "source")
 
 
-@query("judge_l4_stub")
+def _tenth(x: str) -> str:
+    """Rounded to a tenth as the engine rounds: the number's shortest digits, half up."""
+    return f"round(cast(cast({x} AS VARCHAR) AS DECIMAL(30, 18)), 1)::DOUBLE"
+
+
+_BAND = "CASE WHEN score >= 8 THEN {0} WHEN score >= 5 THEN {1} ELSE {2} END"
+
+
+@query("judge_l4_stub", f"""WITH {MD}, k AS (SELECT doc_id, length(m) % 10 <> 7 AS ok, {structure_sql('m')} AS st, CASE WHEN length(m) % 10 = 7 THEN 5.0 ELSE least(10, length(m) % 11) END::DOUBLE AS c FROM md),
+s AS (SELECT doc_id, ok, {_tenth('0.7::DOUBLE * c + 0.3::DOUBLE * st')} AS score FROM k)
+SELECT doc_id, score, CASE WHEN ok THEN {_BAND.format("'High'", "'Medium'", "'Low'")} ELSE 'Medium' END AS confidence, CASE WHEN ok THEN {_BAND.format("'accept'", "'patch'", "'fallback'")} ELSE 'patch' END AS action, CASE WHEN ok THEN 'L4' ELSE 'L4-fallback' END AS judge_level FROM s""")
 def judge_l4_stub(spark, d):
     rows = markdown(spark, d).select("doc_id", F.col("m").alias("md"))
     judged = M.run_model(rows, "md", M.judge_stub, M.VERDICT, "verdict")
     return J.merge_verdict(judged, "verdict", F.lit(False)).select("doc_id", "score", "confidence", "action", "judge_level")
 
 
-@query("quality_loop")
+def _round_sql(n: int) -> str:
+    """CTEs s{n} (the score of round n) and d{n} (its drafts, patched unless accepted) from d{n - 1}."""
+    return f"""w{n} AS (SELECT *, {words_sql('text')} AS s, {words_sql('m')} AS k, {structure_sql('m')} AS st FROM d{n - 1}),
+x{n} AS (SELECT *, len(s) AS ns, len(k) AS nk, len(list_intersect(s, k)) AS nb, list_sort(list_filter(s, lambda v: NOT list_contains(k, v))) AS missing FROM w{n}),
+y{n} AS (SELECT *, CASE WHEN ns > 0 AND nk > 0 THEN (nk - nb) / nk::DOUBLE ELSE 0.0::DOUBLE END AS rate, least(10.0::DOUBLE, nb / ns::DOUBLE * 10) AS c FROM x{n}),
+z{n} AS (SELECT *, CASE WHEN ns > 0 THEN CASE WHEN rate > 0.2 THEN greatest(0.0::DOUBLE, c - rate * 4) ELSE c END ELSE 5.0::DOUBLE END AS cs FROM y{n}),
+s{n} AS (SELECT doc_id, text, m, missing, open, {_tenth('0.7::DOUBLE * cs + 0.3::DOUBLE * st')} AS score FROM z{n}),
+d{n} AS (SELECT doc_id, text, CASE WHEN open AND score < 8 AND len(missing) > 0 THEN m||{_NL2}||'## Recovered'||{_NL2}||array_to_string(missing, ' ') ELSE m END AS m, open AND score < 8 AS open FROM s{n})"""
+
+
+@query("quality_loop", f"""WITH {MD}, d0 AS (SELECT doc_id, text, left(m, 300) AS m, true AS open FROM md), {_round_sql(1)}, {_round_sql(2)}, {_round_sql(3)},
+a AS (SELECT doc_id, 1 AS round_num, score FROM s1 WHERE open UNION ALL SELECT doc_id, 2, score FROM s2 WHERE open UNION ALL SELECT doc_id, 3, score FROM s3 WHERE open),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, round_num) AS n FROM a)
+SELECT doc_id, round_num, score, {_BAND.format("'accept'", "'patch'", "'fallback'")} AS action FROM b WHERE n = 1""")
 def quality_loop(spark, d):
     return X.quality_loop(markdown(spark, d).select("doc_id", "text", F.left("m", F.lit(300)).alias("md")), "doc_id", max_rounds=3)
 
 
-@query("ocr_cascade")
+@query("ocr_cascade", f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN '[ocr] ' ELSE '[first] ' END||{strip_sql("coalesce(text, '')")} AS ocr, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 1 ELSE 0 END AS engine FROM documents")
 def ocr_cascade(spark, d):
     return X.cascade(table(spark, d, "documents").select("doc_id", "text"), "text", [M.failing_stub, M.ocr_stub], "ocr").select("doc_id", "ocr", "engine")
 
 
+_DRAFT = "CASE WHEN doc_id % 3 = 0 THEN '```'||chr(10)||text||chr(10)||'```' WHEN doc_id % 3 = 1 THEN 'a /think'||chr(10)||text ELSE text END"
+_REPLY_SQL = "regexp_replace(replace(left(x, 500), '```', ''), '(?m)\\s*/think\\s*$', '', 'g')"
+
+
+@query("format_documents", f"""SELECT doc_id, CASE WHEN NOT (contains(x, '```') OR contains(x, '/think') OR contains(x, '<think>') OR regexp_matches(x, '(?m)^#{{2}}[^#].*\\n+#{{4}}[^#]') OR regexp_matches(x, '(?m)^## \\w+(?:\\n\\n## \\w+){{2}}')) THEN x
+WHEN length(left(x, 500)) % 7 = 3 OR r = '' OR length(r) < length(left(x, 500)) * 0.65::DOUBLE THEN x ELSE r||CASE WHEN length(x) > 500 THEN {_NL2}||substr(x, 501) ELSE '' END END AS md
+FROM (SELECT *, CASE WHEN length(left(x, 500)) % 5 = 0 THEN {strip_sql('left(x, 10)')} ELSE {strip_sql(_REPLY_SQL)} END AS r FROM (SELECT doc_id, {_DRAFT} AS x FROM documents))""")
+def format_documents(spark, d):
+    return X.format_documents(table(spark, d, "documents").select("doc_id", F.expr(_DRAFT).alias("md")), "md", M.format_stub, 500)
+
+
+@query("model_caps", f"WITH {MD} SELECT doc_id, left(m, 12000) AS judged, array_to_string(list_transform(generate_series(1, least(20, doc_id % 30)), lambda i: '- gap '||i), chr(10)) AS gaps FROM md")
+def model_caps(spark, d):
+    gaps = F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 30), 2, 100), lambda i: F.concat(F.lit("gap "), i.cast("string")))
+    return markdown(spark, d).select("doc_id", J.judge_input(F.col("m")).alias("judged"), J.gap_list(gaps).alias("gaps"))
+
+
+@query("config_override", "SELECT * FROM (VALUES ('format_chars', '300'), ('max_rounds', '2'), ('orchestrator_model', 'small'), ('quality_threshold', '7.0'), ('reviewer', 'small'), ('vision_primary', 'qwen3-vl:8b')) v(name, value)")
+def config_override(spark, d):
+    """Names in capitals, a number for a float, a wrong kind and an unknown name."""
+    s = config.override(config.Settings(), {"ORCHESTRATOR_MODEL": "small", "max_rounds": 2, "QUALITY_THRESHOLD": 7, "VISION_PRIMARY": 3, "format_num_ctx": 100, "UNKNOWN": 1})
+    names = ("format_chars", "max_rounds", "orchestrator_model", "quality_threshold", "reviewer", "vision_primary")
+    return spark.createDataFrame([(n, str(getattr(s, n))) for n in names], "name string, value string")
+
+
 # ---- files ----
 
 

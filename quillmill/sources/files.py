@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import registry as Y
+from quillmill.sinks.files import recover
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -19,17 +21,21 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFr
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry table, or an empty one where there is none or it can't be read."""
+    """The registry table, or an empty one where there is none or a file of it can't be read. What a stopped writer left is put right first."""
+    recover(spark, path)
     try:
-        return spark.read.schema(Y.SCHEMA).parquet(path)
-    except AnalysisException:
+        # The footers of all files are read here: with a schema given, a corrupt one would fail a later job instead.
+        spark.read.option("mergeSchema", "true").parquet(path)
+    except (AnalysisException, SparkRuntimeException, PySparkException, Py4JJavaError):
         return spark.createDataFrame([], Y.SCHEMA)
+    return spark.read.schema(Y.SCHEMA).parquet(path)
 
 
 def scan_documents(spark: SparkSession, folder: str, pattern: str, reader: Callable[[str, bytes], list[dict]], pages: str = "page_num int, text string") -> DataFrame:
     """pdf, pages' columns, error: every file's pages by a reader of (path, bytes).
 
-    A file that can't be read is a row with an error. Files split over tasks; a task holds one file at a time.
+    A file that can't be read is a row with an error. Files split over tasks; a task holds an Arrow batch of whole files (bounded
+    by spark.sql.execution.arrow.maxBytesPerBatch, or one file if that is larger).
     """
     names = [f.split()[0] for f in pages.split(", ")]
 

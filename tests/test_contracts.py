@@ -1,0 +1,120 @@
+"""Contracts of models, settings and the registry's files: failures stay where they are."""
+
+import json
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmill import config
+from quillmill.models import stubs as M
+from quillmill.operators import registry as Y
+from quillmill.sinks import files as S
+from quillmill.sources import files as Z
+
+
+def fragile(texts):
+    if "bad" in texts:
+        raise ValueError("page is broken")
+    return [t.upper() for t in texts]
+
+
+def test_one_bad_row_spoils_no_other(spark):
+    rows = [(i, "bad" if i == 41 else f"t{i}") for i in range(100)]
+    got = M.run_model(spark.createDataFrame(rows, "i int, t string").coalesce(1), "t", fragile, M.TEXT, "r").collect()
+    assert {r.i: (r.r.ok, r.r.value) for r in got} == {i: (i != 41, None if i == 41 else t.upper()) for i, t in rows}
+    assert next(r.r.error for r in got if r.i == 41) == "ValueError: page is broken"
+
+
+def test_a_hung_row_is_given_up():
+    def slow(texts):
+        if "hang" in texts:
+            time.sleep(30)
+        return texts
+
+    began = time.monotonic()
+    got = M.answers(slow, ["a", "hang", "b"], 0.2)
+    assert got[0] == "a" and got[2] == "b" and isinstance(got[1], TimeoutError) and time.monotonic() - began < 5
+    got = M.answers(slow, ["hang"] * 6 + ["a"], 0.05)  # a server that is gone isn't asked for ever
+    assert all(isinstance(r, TimeoutError) for r in got) and "not tried" in str(got[-1])
+    assert [type(r) for r in M.answers(lambda t: t[:1], ["a", "b"])] == [str, str]  # too few answers: row by row
+
+
+def test_streams_end_stall_or_fail():
+    assert M.streamed(lambda: iter([" a", "b "]), 5, 1) == "ab"
+
+    def silent(first, pause):
+        def tokens():
+            time.sleep(first)
+            yield "x"
+            time.sleep(pause)
+            yield "y"
+
+        return tokens
+
+    assert M.streamed(silent(0.3, 0), 5, 0.1) == "xy"  # before its first token a model may load
+    with pytest.raises(TimeoutError, match="stalled after 1"):
+        M.streamed(silent(0, 3), 5, 0.2)
+    with pytest.raises(TimeoutError, match="no end"):
+        M.streamed(silent(3, 0), 0.2, 5)
+    with pytest.raises(ZeroDivisionError):
+        M.streamed(lambda: (1 / 0 for _ in range(1)), 1, 1)
+
+
+def test_settings_from_a_file(tmp_path):
+    path = tmp_path / "local.json"
+    assert config.load(path) == config.Settings()
+    path.write_text("{not json")
+    assert config.load(path) == config.Settings()
+    path.write_text(json.dumps({"VISION_PRIMARY": "v", "DEEP_REVIEW_MODEL": "r", "MAX_ROUNDS": "two", "X": 1, "STALL_SECONDS": 9}))
+    got = config.load(path)
+    assert (got.vision_primary, got.reviewer, got.max_rounds, got.stall_seconds) == ("v", "r", 4, 9.0)
+    assert config.load(path).orchestrator_model == config.Settings().orchestrator_model == config.Settings().reviewer
+
+
+def one(spark, pdf):
+    return spark.createDataFrame([(pdf, None, "done", None, 1.0, 1, 0, None)], Y.SCHEMA)
+
+
+def names(spark, path):
+    return [r.pdf for r in Z.load_registry(spark, path).collect()]
+
+
+@pytest.mark.parametrize("stop", ["before the first rename", "between the renames", "after the second rename"])
+def test_registry_survives_a_stop_at_any_rename(spark, tmp_path, stop):
+    path = str(tmp_path / "reg")
+    S.save_registry(one(spark, "a"), path)
+    fs, to = S._fs(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    one(spark, "b").write.parquet(f"{path}.new")
+    if stop != "before the first rename":
+        fs.rename(to, at(f"{path}.old"))
+    if stop == "after the second rename":
+        fs.rename(at(f"{path}.new"), to)
+    assert names(spark, path) == (["a"] if stop == "before the first rename" else ["b"])
+    S.save_registry(Y.upsert(Z.load_registry(spark, path), one(spark, "c").select("pdf", "status"), ["status"], F.current_timestamp()), path)
+    assert "c" in names(spark, path) and len(names(spark, path)) == 2
+
+
+def test_half_written_registry_goes_back_to_the_old(spark, tmp_path):
+    path = tmp_path / "reg"
+    S.save_registry(one(spark, "a"), str(path))
+    path.rename(tmp_path / "reg.old")
+    (tmp_path / "reg.new").mkdir()
+    assert names(spark, str(path)) == ["a"]
+
+
+def test_corrupt_registry_is_empty(spark, tmp_path):
+    path = tmp_path / "reg"
+    S.save_registry(one(spark, "a"), str(path))
+    (path / "part-x.parquet").write_text("not parquet")
+    assert names(spark, str(path)) == [] and names(spark, str(tmp_path / "none")) == []
+
+
+def test_stale_flagged_reports_are_deleted(spark, tmp_path):
+    path = str(tmp_path / "flagged")
+    df = lambda *rows: spark.createDataFrame(list(rows), "doc string, report string")
+    S.write_flagged(df(("a b", "one"), ("c", "two"), ("e", "old")), df(("a b", ""), ("c", ""), ("e", "")), path)
+    S.write_flagged(df(("c", "three")), df(("a b", ""), ("c", "")), path)
+    got = {r.doc: r.value for r in spark.read.text(path).collect()}
+    assert got == {"c": "three", "e": "old"}
