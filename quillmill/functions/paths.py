@@ -31,3 +31,8 @@ def format_size(n: Column) -> Column:
 def format_elapsed(seconds: Column) -> Column:
     s = F.floor(seconds)
     return F.when(seconds < 60, F.format_string("%.0fs", seconds)).otherwise(F.format_string("%dm %02ds", F.floor(s / 60), s % 60))
+
+
+def image_name(condition: Column, index: Column, ext: Column) -> Column:
+    """File name of a saved image."""
+    return F.concat(F.replace(F.lower(condition), F.lit(" "), F.lit("_")), F.lit("_"), index.cast("string"), F.lit("."), ext)

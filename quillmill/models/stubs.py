@@ -146,6 +146,46 @@ def format_stub(texts: list) -> list:
     return [RuntimeError("server gone") if len(t) % 7 == 3 else t[:10] if len(t) % 5 == 0 else "<think>so</think>" + t.replace("```", "") for t in texts]
 
 
+def region_stub(prompts: list) -> list:
+    """Fails on contents of odd length."""
+    return [RuntimeError("out of memory") if len(p.partition("\n")[2]) % 2 else "```markdown\n[seen] " + p.replace("\n", " ") + "\n```" for p in prompts]
+
+
+def remark_stub(prompts: list) -> list:
+    return [RuntimeError("out of memory") if len(p.partition("\n")[2]) % 2 else "It seems the image is empty." for p in prompts]
+
+
+def mathpix_stub(texts: list) -> list:
+    """Reads texts of even length."""
+    return ["M:" + (t or "").strip() if len(t or "") % 2 == 0 and (t or "").strip() else "" for t in texts]
+
+
+def pix2tex_stub(texts: list) -> list:
+    """Reads texts whose length isn't divisible by three."""
+    return ["P:" + (t or "").strip() if len(t or "") % 3 else "" for t in texts]
+
+
+def _image(prompt: str, name: str) -> str:
+    kind, _, rest = prompt.partition("\n")
+    return f"{name}: {kind} {rest}" + "." * 50
+
+
+def first_image_stub(prompts: list) -> list:
+    """Knows ECGs whose condition has an even length; says little of others."""
+    return [_image(p, "first") if p.startswith("ecg\n") and (len(p.partition("\n")[2]) - len("Condition:  (Cardio)")) % 2 == 0 else "short" for p in prompts]
+
+
+def second_image_stub(prompts: list) -> list:
+    """Fails on conditions of 14 characters or fewer."""
+    return [_image(p, "second") if len(p.partition("\n")[2]) - len("Condition:  (Cardio)") > 14 else RuntimeError("timed out") for p in prompts]
+
+
+def tables_stub(path: str, content: bytes) -> list[dict]:
+    """A useful and a useless table on page 0, a useful one on page 1."""
+    good = [["size", "kind"], [f"{len(content)} bytes in all", "file"]]
+    return [{"page_num": 0, "rows": good}, {"page_num": 0, "rows": [["x", None], ["", " "]]}, {"page_num": 1, "rows": good}]
+
+
 def page_stub(path: str, content: bytes) -> list[dict]:
     """One page a file: its size for a text."""
     return [{"page_num": 0, "text": f"{len(content)} bytes"}]

@@ -15,6 +15,7 @@ from quillmill.operators import registry as Y
 from quillmill.operators import render as R
 from quillmill.plans import catalog as K
 from quillmill.plans import extraction as X
+from quillmill.plans import vision as V
 from quillmill.queries.analysis import EL, elements, structure_sql
 from quillmill.queries.base import MD, PAGES, TYPE_SQL, markdown, pages, query, strip_sql, table
 from quillmill.queries.text import words_sql
@@ -366,6 +367,57 @@ def config_override(spark, d):
     return spark.createDataFrame([(n, str(getattr(s, n))) for n in names], "name string, value string")
 
 
+# ---- regions, formulas, images ----
+
+
+@query("describe_regions", f"SELECT doc_id, CASE WHEN length(c) % 2 = 1 THEN NULL WHEN doc_id % 5 = 0 THEN '' ELSE {strip_sql("('[seen] '||k||' '||c)")} END AS description FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ecg' WHEN 1 THEN 'diagram' ELSE 'figure' END AS k, left(replace(text, chr(10), ' '), cast(20 + doc_id % 2 AS INTEGER)) AS c FROM documents)")
+def describe_regions(spark, d):
+    label = F.element_at(F.array(F.lit("ecg"), F.lit("diagram"), F.lit("figure"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", label.alias("label"), F.expr("left(replace(text, '\n', ' '), cast(20 + doc_id % 2 AS int))").alias("content"))
+    told = V.describe_regions(rows.where("doc_id % 5 <> 0"), M.region_stub).unionByName(V.describe_regions(rows.where("doc_id % 5 = 0"), M.remark_stub))
+    return told.select("doc_id", "description")
+
+
+_ASKED = "CASE p_partkey % 4 WHEN 0 THEN 'mathpix' WHEN 1 THEN 'auto' WHEN 2 THEN 'pix2tex' ELSE 'off' END"
+
+
+@query("math_engine", f"SELECT p_partkey, CASE {_ASKED} WHEN 'mathpix' THEN CASE WHEN c THEN 'mathpix' ELSE 'pix2tex' END WHEN 'auto' THEN CASE WHEN c THEN 'mathpix' WHEN l THEN 'pix2tex' ELSE 'none' END WHEN 'pix2tex' THEN CASE WHEN l THEN 'pix2tex' ELSE 'none' END ELSE 'none' END AS engine FROM (SELECT p_partkey, p_partkey % 3 = 0 AS c, p_partkey % 5 < 3 AS l FROM part)")
+def math_engine(spark, d):
+    return table(spark, d, "part").select("p_partkey", V.math_engine(F.expr(_ASKED), F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5 < 3).alias("engine"))
+
+
+_ENGINE = "CASE (doc_id + ord) % 4 WHEN 0 THEN 'mathpix' WHEN 1 THEN 'pix2tex' ELSE 'none' END"
+
+
+@query("math_ocr", f"WITH {EL} SELECT doc_id, ord, CASE WHEN label <> 'formula' THEN NULL WHEN engine = 'mathpix' AND length(text) % 2 = 0 AND {strip_sql('text')} <> '' THEN 'M:'||{strip_sql('text')} WHEN engine <> 'none' AND length(text) % 3 > 0 THEN 'P:'||{strip_sql('text')} END AS equation FROM (SELECT *, {_ENGINE} AS engine FROM el)")
+def math_ocr(spark, d):
+    rows = elements(spark, d).withColumn("engine", F.expr(_ENGINE))
+    return V.read_equations(rows, {"mathpix": M.mathpix_stub, "pix2tex": M.pix2tex_stub}).select("doc_id", "ord", "equation")
+
+
+@query("describe_images", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND length(p_name) % 2 = 0 THEN 'first: '||k||' Condition: '||p_name||' (Cardio)'||repeat('.', 50) WHEN length(p_name) > 14 THEN 'second: '||k||' Condition: '||p_name||' (Cardio)'||repeat('.', 50) ELSE '[Image '||(p_partkey % 7 + 1)||': All vision models failed — ECG/diagram description unavailable]' END AS description FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'ecg' WHEN 1 THEN 'diagram' ELSE 'figure' END AS k FROM part)")
+def describe_images(spark, d):
+    kind = F.element_at(F.array(F.lit("ecg"), F.lit("diagram"), F.lit("photo")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 7).cast("int").alias("image_index"), kind.alias("kind"), F.col("p_name").alias("condition"), F.lit("Cardio").alias("specialty"))
+    return V.describe_images(rows, [M.first_image_stub, M.second_image_stub]).select("p_partkey", "description")
+
+
+@query("image_file_name", "SELECT p_partkey, replace(lower(p_name), ' ', '_')||'_'||(p_partkey % 5)||'.png' AS name FROM part")
+def image_file_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", H.image_name(F.col("p_name"), F.col("p_partkey") % 5, F.lit("png")).alias("name"))
+
+
+@query("benchmark_report", """WITH b AS (SELECT c_nationkey AS suite, 'type '||c_custkey AS pdf_type, c_custkey AS n, CASE WHEN c_custkey % 7 > 0 THEN (c_custkey % 11)::DOUBLE END AS score, c_custkey % 5 * 30 AS s, CASE WHEN c_custkey % 3 > 0 THEN '40% pages (2/5)' END AS cov FROM customer),
+l AS (SELECT suite, '| '||row_number() OVER (PARTITION BY suite ORDER BY n)||' | '||pdf_type||' | '||CASE WHEN score IS NULL THEN '— ERR' ELSE CASE WHEN score >= 9 THEN '✅' WHEN score >= 8 THEN '🟡' WHEN score >= 6 THEN '🟠' ELSE '🔴' END||' '||printf('%.1f', score) END||' | '||CASE WHEN cov IS NULL THEN '—' ELSE '40% pages' END||' | — | '||CASE WHEN s > 0 THEN printf('%.1f', s / 60.0::DOUBLE)||' min' ELSE '—' END||' | n |' AS line, n FROM b)
+SELECT suite, '| # | PDF Type | Score | Coverage | Completeness | Time | Notes |'||chr(10)||'|---|----------|-------|----------|--------------|------|-------|'||chr(10)||string_agg(line, chr(10) ORDER BY n) AS report FROM l GROUP BY suite""")
+def benchmark_report(spark, d):
+    rows = table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("suite"), F.col("c_custkey").alias("ord"), F.concat(F.lit("type "), F.col("c_custkey").cast("string")).alias("pdf_type"), F.when(F.col("c_custkey") % 7 > 0, (F.col("c_custkey") % 11).cast("double")).alias("score"),
+        (F.col("c_custkey") % 5 * 30).cast("double").alias("seconds"), F.when(F.col("c_custkey") % 3 > 0, F.lit("40% pages (2/5)")).alias("coverage"), F.lit(None).cast("string").alias("completeness"), F.lit("n").alias("notes"), F.lit(None).cast("string").alias("error"),
+    )
+    return R.benchmark_table(rows, "suite")
+
+
 # ---- files ----
 
 
@@ -379,6 +431,11 @@ def registry_load(spark, d):
     return Z.load_registry(spark, f"{d}/no-such-registry")
 
 
+@query("scan_tables")
+def scan_tables(spark, d):
+    return Z.scan_tables(spark, d, "*.parquet", M.tables_stub)
+
+
 @query("scan_pages")
 def scan_pages(spark, d):
     return Z.scan_documents(spark, d, "*.parquet", M.page_stub)

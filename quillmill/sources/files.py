@@ -54,3 +54,32 @@ def scan_documents(spark: SparkSession, folder: str, pattern: str, reader: Calla
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
     return files.select("path", "content").mapInArrow(read, ddl)
+
+
+def scan_tables(spark: SparkSession, folder: str, pattern: str, reader: Callable[[str, bytes], list[dict]]) -> DataFrame:
+    """pdf, page_num, rows, error: the useful tables of every file, by a reader that gives a page's number and rows of cells for each."""
+    from quillmill.operators.render import useful_table
+
+    kind = pa.list_(pa.list_(pa.string()))
+    schema = pa.schema([("pdf", pa.string()), ("page_num", pa.int32()), ("rows", kind), ("error", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    rows = [r | {"pdf": path, "error": None} for r in reader(path, content.as_py())]
+                except Exception as e:  # noqa: BLE001 - one bad file doesn't end the scan
+                    rows = [{"page_num": None, "rows": None, "pdf": path, "error": f"{type(e).__name__}: {e}"}]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    found = files.select("path", "content").mapInArrow(read, "pdf string, page_num int, rows array<array<string>>, error string")
+    return found.where(F.col("error").isNotNull() | useful_table(F.col("rows")))
+
+
+def first_page(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """pdf, text, tables (arrays of rows, by page): the text of each file's first page with the tables of all its pages."""
+    own = pages.where("page_num = 0").select("pdf", "text")
+    listed = tables.where("error IS NULL").groupBy("pdf").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "rows"))), lambda t: t["rows"]).alias("tables"))
+    return own.join(listed, "pdf", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<array<array<string>>>")))

@@ -118,3 +118,20 @@ def test_stale_flagged_reports_are_deleted(spark, tmp_path):
     S.write_flagged(df(("c", "three")), df(("a b", ""), ("c", "")), path)
     got = {r.doc: r.value for r in spark.read.text(path).collect()}
     assert got == {"c": "three", "e": "old"}
+
+
+def test_scans_of_tables_and_first_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"twelve bytes")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def reader(path, content):
+        if content == b"bad":
+            raise ValueError("no pages")
+        return M.tables_stub(path, content)
+
+    tables = Z.scan_tables(spark, str(tmp_path), "*.pdf", reader)
+    got = sorted(((r.page_num, r.error, r.rows) for r in tables.collect()), key=str)
+    assert [(p, e) for p, e, _ in got] == [(0, None), (1, None), (None, "ValueError: no pages")] and got[0][2][1] == ["12 bytes in all", "file"]
+    pages = Z.scan_documents(spark, str(tmp_path), "a.pdf", lambda p, c: [{"page_num": i, "text": f"page {i}"} for i in range(2)])
+    (row,) = Z.first_page(pages, tables).collect()
+    assert row.text == "page 0" and len(row.tables) == 2

@@ -247,7 +247,7 @@ def test_files(spark, tmp_path):
     S.write_flagged(spark.createDataFrame([("x", "r"), ("y", "r")], "doc string, report string"), parsed, str(tmp_path / "fl"))
     S.write_flagged(spark.createDataFrame([], "doc string, report string"), parsed.where("doc = 'x'"), str(tmp_path / "fl"))
     text = {p.split("doc=")[1].split("/")[0]: open(p).read().strip() for p in glob.glob(f"{tmp_path}/fl/doc=*/*.txt")}
-    assert text == {"x": "", "y": "r"}
+    assert text == {"y": "r"}  # a stale report is deleted
 
 
 def test_streams(spark, tmp_path):
