@@ -46,6 +46,6 @@ def test_filters_reach_the_registry_scan(spark, sf, tmp_path):
     assert re.search(r"PushedFilters: .*In\(status", plan(Y.by_status(spark.read.parquet(path), Y.PENDING, Y.ERROR)))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"judge_l4_stub", "ocr_cascade", "scan_pages", "route_dispatch"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"judge_l4_stub", "ocr_cascade", "scan_pages", "scan_tables", "route_dispatch", "format_documents", "describe_regions", "describe_images", "math_ocr"}))
 def test_no_python_but_in_model_steps(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapIn(?:Arrow|Pandas)|FlatMapGroups", plan(QUERIES[name](spark, sf)))
