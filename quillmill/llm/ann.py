@@ -348,12 +348,12 @@ def neighbours(vectors: DataFrame, k: int = K, confidence: float = CONFIDENCE, c
     share = min(1.0, SAMPLE_PER_CELL * 2**depth / max(n, 1))
     sample = points.where(fraction("r", seed=seed) < share).select("y").toArrow()  # about SAMPLE_PER_CELL * DIMS numbers a cell
     top = split(_matrix(sample.column("y").combine_chunks(), DIMS) if len(sample) else np.zeros((0, DIMS), np.float32), depth)
-    sent = points.sparkSession.sparkContext.broadcast(top)
+    sent = points.sparkSession.sparkContext.broadcast((depth, top.dim, top.cut))  # plain arrays: a broadcast names its classes, and executors have no copy of this package
     q = quantile(confidence, DIMS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.cell(_matrix(b.column("y"), DIMS)).astype(np.int32)), *b.columns], ["cell", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(Top(*sent.value).cell(_matrix(b.column("y"), DIMS)).astype(np.int32)), *b.columns], ["cell", *b.schema.names])
 
     def plan(step: int):
         """visit: the next step cells of a query, none if it is done; what it has visited before."""
@@ -362,7 +362,7 @@ def neighbours(vectors: DataFrame, k: int = K, confidence: float = CONFIDENCE, c
             for b in batches:
                 kth = b.column("kth").to_numpy()
                 done = b.column("done").to_numpy()
-                cells = sent.value.following(_matrix(b.column("y"), DIMS), q * kth.astype(np.float64), done, step)
+                cells = Top(*sent.value).following(_matrix(b.column("y"), DIMS), q * kth.astype(np.float64), done, step)
                 count = np.array([len(c) for c in cells], np.int32)
                 visit = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *cells]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("r", "vec_id", "x", "y", "found", "kth")), pa.array(done + count), visit], ["r", "vec_id", "x", "y", "found", "kth", "done", "visit"])
