@@ -16,7 +16,7 @@ FORMULAS = 3
 def image_area_ratio(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ratio: the image blocks' share of the page (x0, y0, x1, y1, block_type, width, height), 1 at most."""
     area = F.when(F.col("block_type") == "image", F.greatest(F.lit(0.0), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).otherwise(0.0)
-    page = F.first("width") * F.first("height")
+    page = F.max("width") * F.max("height")  # one size a page; max has no order
     return blocks.groupBy(*keys).agg(F.when(page > 0, F.least(F.lit(1.0), F.sum(area) / page)).otherwise(0.0).alias("ratio"))
 
 
