@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import mixing, near_dedup, packing, quality_rules, toxicity
-from quillmill.llm.common import stash, table
+from quillmill.llm.common import own, stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows served within the budget of tokens, in order of finish time. A null source is a source of its own; rows equal in
     source, doc_id and text, and ties in time and key, are served or cut together."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*own(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import free_name, stash, table
+from quillmill.llm.common import free_name, own, stash, table
 
 SEED = "7"
 DIGITS = 3
@@ -86,11 +86,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, budget: fl
     names = [free_name(docs, "tokens"), free_name(docs, "virtual_finish")]
     m, tmp, n = free_name(docs, "m"), free_name(docs, "finish"), free_name(docs, "n")
     # Rows of one key are equal in text, so the default count is known from the first pass; any other Column may differ.
-    rows = docs.select(*docs.columns, key.alias(m), *([] if counted else [tokens.alias(n)])).alias("d")
+    rows = docs.select(*own(docs), key.alias(m), *([] if counted else [tokens.alias(n)])).alias("d")
     rows = rows.join(upto.alias("u"), F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col(f"d.{m}") <= F.col("u.upto"))).select("d.*").alias("d")
     rows = rows.join(times.alias("t"), (F.col(f"d.{m}") == F.col("t.key")) & F.col("d.source").eqNullSafe(F.col("t.source")))
     rows = rows.select("d.*", F.col("t.finish").alias(tmp), *([F.col("t.tokens").alias(n)] if counted else [])).orderBy(tmp, m)
-    return rows.select(*docs.columns, F.col(n).alias(names[0]), F.col(tmp).alias(names[1]))
+    return rows.select(*own(docs), F.col(n).alias(names[0]), F.col(tmp).alias(names[1]))
 
 
 def _cut(timed: DataFrame, limit: int, few: int = FEW) -> DataFrame:

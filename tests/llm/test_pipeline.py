@@ -140,3 +140,17 @@ def test_odd_and_empty_tables(spark, sf, tmp_path):
     d = write(empty(spark), tmp_path / "none", "documents")
     write(labels, tmp_path / "none", "labels")
     assert P.run(spark, d).collect() == []
+
+
+@pytest.mark.parametrize("name", ["a.b", "a`b", "*", "text.x"])
+def test_columns_of_any_name(spark, sf, tmp_path, name):
+    """What a further column is called changes nothing: dots, stars and backticks are part of its name."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    named = docs.withColumn(name, F.lit("mine"))
+    for step, stage in P.STAGES[2:4]:
+        stage(spark, named, sf).write.parquet(f"{tmp_path}/{step}")
+        out = spark.read.parquet(f"{tmp_path}/{step}")
+        assert out.columns == named.columns and {r[-1] for r in out.collect()} == {"mine"}
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in stage(spark, docs, sf).collect())
