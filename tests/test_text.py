@@ -133,6 +133,14 @@ def test_heuristic_scores(spark):
     assert got[3].content_score == 5.0 and got[3].hallucination_rate == 0.0
 
 
+def test_a_score_at_a_half_is_rounded_as_sql_does(spark):
+    """0.7 * 7.5 + 0.3 * 9 is 7.949999999999999 as a double."""
+    df = spark.createDataFrame([("alpha beta gamma delta", "## H\nalpha beta gamma")], "text string, md string")
+    (row,) = J.heuristic(df).collect()
+    assert (row.content_score, row.structure_score, row.score, row.action, row.confidence) == (7.5, 9.0, 8.0, "accept", "High")
+    assert [spark.range(1).select(T.rounded(F.lit(x), 1)).first()[0] for x in (7.949999999999999, 7.94, 0.05, 10.0)] == [8.0, 7.9, 0.1, 10.0]
+
+
 def test_layout_coverage(spark):
     el = spark.createDataFrame([(0, 0, "table"), (0, 1, "text"), (1, 0, "table"), (1, 1, "picture"), (2, 0, "furniture")], "k int, ord int, label string")
     md = spark.createDataFrame([(0, "|---|---|\n and some text of length"), (1, "nothing of the kind here"), (2, "x"), (3, "y")], "k int, md string")
