@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmill import config
 from quillmill.models import stubs as M
 from quillmill.operators import registry as Y
+from quillmill.plans import extraction as X
 from quillmill.sinks import files as S
 from quillmill.sources import files as Z
 
@@ -135,3 +136,10 @@ def test_scans_of_tables_and_first_pages(spark, tmp_path):
     pages = Z.scan_documents(spark, str(tmp_path), "a.pdf", lambda p, c: [{"page_num": i, "text": f"page {i}"} for i in range(2)])
     (row,) = Z.first_page(pages, tables).collect()
     assert row.text == "page 0" and len(row.tables) == 2
+
+
+def test_a_cut_draft_keeps_its_think_mark(spark):
+    """As in the SQL of format_documents: of a draft of fifteen characters the first ten are the answer, think mark and all."""
+    draft = "a /think\nabcdef"
+    got = X.format_documents(spark.createDataFrame([(draft,), (draft + "g",)], "md string"), "md", M.format_stub, 500).collect()
+    assert sorted(r.md for r in got) == ["a /think\na", draft + "g"]
