@@ -171,6 +171,21 @@ def test_routes(spark):
     assert order == ["poster", "exam", "slide", "layout", "fallback"]
 
 
+def test_pages_without_text_as_in_sql(spark, tmp_path):
+    """An empty page keeps its step's mark and blank, a null one is left out, as in the SQL of route_dispatch."""
+    import duckdb
+
+    from quillmill.queries import ORACLES, QUERIES
+
+    rows = [(i, t, "en", "ab"[i // 20]) for i, t in enumerate(["", None, "text", " ", "\x1cx "] * 4 + [None] * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(duck.execute(ORACLES["route_dispatch"]).fetchall())
+    assert "[ocr] \n" in want["a"] and want["b"] is None
+    assert {r.source: r.md for r in QUERIES["route_dispatch"](spark, str(tmp_path)).collect()} == want
+
+
 def test_layout_route(spark):
     glyphs = "/g1a /gff /g0b a b"
     el = [(0, 1, "text", "body"), (0, 0, "title", "T"), (0, 2, "footnote", "n"), (1, 0, "text", " "), (3, 0, "text", glyphs), (4, 0, "text", glyphs), (5, 0, "text", glyphs), (6, 0, "text", "not asked")]
