@@ -49,3 +49,11 @@ def test_filters_reach_the_registry_scan(spark, sf, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"judge_l4_stub", "ocr_cascade", "scan_pages", "scan_tables", "route_dispatch", "format_documents", "describe_regions", "describe_images", "math_ocr"}))
 def test_no_python_but_in_model_steps(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapIn(?:Arrow|Pandas)|FlatMapGroups", plan(QUERIES[name](spark, sf)))
+
+
+def test_quality_loop_makes_the_source_words_once(spark):
+    from quillmill.plans import extraction as X
+
+    drafts = spark.createDataFrame([(1, "some words here", "some")], "k int, text string, md string")
+    plan = X.quality_loop(drafts, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1
