@@ -116,25 +116,31 @@ def skip_references(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 def split_sections(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """keys, ord, name, body: the sections under capital headers, abbreviations gathered last.
 
-    A later section of the same name replaces the body but keeps the first one's place.
+    A later section of the same name replaces the body but keeps the first one's place. A row's sections are made
+    within the row: no shuffle. Blocks are sorted by name to find the first and last of each.
     """
-    rows = df.select(*keys, F.posexplode(split_lines(F.col(col))).alias("pos", "line")).withColumn("s", T.strip(F.col("line"))).where("s <> ''")
-    short = F.col("s").rlike(T.ABBREVIATION) & (F.length("s") < 55)
-    rows = rows.withColumns({"short": short, "head": ~short & T.is_section_header(F.col("s"))})
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = rows.withColumn("block", F.sum(F.col("head").cast("int")).over(w))
-    rows = rows.withColumn("name", F.coalesce(F.first(F.when(F.col("head"), T.clean_header(F.col("s"))), ignorenulls=True).over(Window.partitionBy(*keys, "block")), F.lit("OVERVIEW")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "\n").alias("body")
-    blocks = rows.where("not short and not head").groupBy(*keys, "block", "name").agg(text)
-    named = blocks.groupBy(*keys, "name").agg(F.min("block").alias("place"), F.max_by("body", "block").alias("body"))
-    only = T.abbreviations_only(F.col("body"))
-    plain = named.where(~only).select(*keys, "place", "name", "body")
-    stray = rows.where("short").select(*keys, F.lit(-1).alias("place"), "pos", "s")
-    moved = named.where(only).select(*keys, "place", F.posexplode(split_lines(F.col("body"))).alias("pos", "s"))
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "pos", "s"))), lambda x: x["s"]), "\n").alias("body")
-    short_ones = stray.unionByName(moved).groupBy(*keys).agg(gathered).select(*keys, F.lit(1 << 30).alias("place"), F.lit("ABBREVIATIONS").alias("name"), "body")
-    both = plain.unionByName(short_ones)
-    return both.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("place")) - 1).alias("ord"), "name", "body")
+    stripped = F.filter(F.transform(split_lines(F.col(col)), T.strip), lambda s: s != "")
+    known = F.transform(stripped, lambda s: F.struct(s.alias("s"), T.header_body(s).alias("b"), (s.rlike(T.ABBREVIATION) & (F.length(s) < 55)).alias("short")))
+    known = F.transform(known, lambda e: F.struct(e["s"].alias("s"), e["b"].alias("b"), e["short"].alias("short"), (~e["short"] & T.header_like(e["s"], e["b"])).alias("head")))
+    rows = df.select(*keys, known.alias(_LINES))
+    rows = rows.withColumn("__heads", F.filter(F.transform(_LINES, lambda e, i: F.when(e["head"], i + 1)), lambda i: i.isNotNull()))
+    rows = rows.withColumns({"__from": F.concat(F.array(F.lit(0)), "__heads"), "__to": F.concat("__heads", F.array(F.size(_LINES) + 1))})
+    name = lambda p: F.when(p > 0, T.strip(F.get(_LINES, p - 1)["b"])).otherwise("OVERVIEW")
+    held = lambda p, b: F.filter(F.slice(_LINES, p + 1, F.get("__to", b) - p - 1), lambda e: ~e["short"])
+    blocks = F.transform("__from", lambda p, b: F.struct(name(p).alias("name"), b.alias("block"), F.transform(held(p, b), lambda e: e["s"]).alias("held")))
+    blocks = F.transform(F.filter(blocks, lambda x: F.size(x["held"]) > 0), lambda x: F.struct(x["name"].alias("name"), x["block"].alias("block"), F.array_join(x["held"], "\n").alias("body")))
+    rows = rows.withColumn("__blocks", F.array_sort(blocks))
+    first = F.filter("__blocks", lambda x, i: (i == 0) | (x["name"] != F.get("__blocks", i - 1)["name"]))
+    last = F.filter("__blocks", lambda x, i: (i == F.size("__blocks") - 1) | (x["name"] != F.get("__blocks", i + 1)["name"]))
+    named = F.zip_with(first, last, lambda f, x: F.struct(f["block"].alias("place"), f["name"].alias("name"), x["body"].alias("body"), T.abbreviations_only(x["body"]).alias("only")))
+    rows = rows.withColumn("__named", F.array_sort(named))
+    moved = F.flatten(F.transform(F.filter("__named", lambda x: x["only"]), lambda x: split_lines(x["body"])))
+    rows = rows.withColumn("__short", F.concat(F.transform(F.filter(_LINES, lambda e: e["short"]), lambda e: e["s"]), moved))
+    part = lambda n, b: F.struct(n.alias("name"), b.alias("body"))
+    plain = F.transform(F.filter("__named", lambda x: ~x["only"]), lambda x: part(x["name"], x["body"]))
+    gathered = F.array(part(F.lit("ABBREVIATIONS"), F.array_join("__short", "\n")))
+    rows = rows.select(*keys, F.posexplode(F.when(F.size("__short") > 0, F.concat(plain, gathered)).otherwise(plain)).alias("ord", "__part"))
+    return rows.select(*keys, "ord", "__part.name", "__part.body")
 
 
 def heading_outline(c: Column, limit: int = 40) -> Column:

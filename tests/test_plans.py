@@ -57,3 +57,11 @@ def test_quality_loop_makes_the_source_words_once(spark):
     drafts = spark.createDataFrame([(1, "some words here", "some")], "k int, text string, md string")
     plan = X.quality_loop(drafts, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(lower(text") == 1
+
+
+def test_split_sections_stays_in_the_row(spark):
+    from quillmill.operators import lines as L
+
+    docs = spark.createDataFrame([(1, "DIAGNOSIS AND TESTS\na")], "k int, t string")
+    plan = L.split_sections(docs, "t", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
