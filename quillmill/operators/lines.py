@@ -28,7 +28,7 @@ def _by_array(df: DataFrame, col: str, keep) -> DataFrame:
 
 def dedup_lines(df: DataFrame, col: str) -> DataFrame:
     """Without lines equal to the line before, blank ones aside."""
-    return _by_array(df, col, lambda lines, x, i: (T.strip(x) == "") | (i == 0) | (x != F.get(lines, i - 1)))
+    return _by_array(df, col, lambda lines, x, i: (T.trim_line(x) == "") | (i == 0) | (x != F.get(lines, i - 1)))
 
 
 def strip_exam_headers(df: DataFrame, col: str) -> DataFrame:
@@ -36,7 +36,7 @@ def strip_exam_headers(df: DataFrame, col: str) -> DataFrame:
 
     Headers are sorted by wording to find the first of each, and merged with the other lines by place: no line is looked up among all.
     """
-    numbered = F.transform(split_lines(F.col(col)), lambda x, i: F.struct(i.alias("i"), x.alias("x"), T.strip(x).alias("s")))
+    numbered = F.transform(split_lines(F.col(col)), lambda x, i: F.struct(i.alias("i"), x.alias("x"), T.trim_line(x).alias("s")))
     kind = F.transform(numbered, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"), e["s"].alias("s"), F.when(e["s"].rlike(T.PAGE_LINE), 2).when(e["s"].rlike(T.HEADER_LINE), 1).otherwise(0).alias("k")))
     df = df.withColumn(_LINES, kind)
     heads = F.array_sort(F.transform(F.filter(_LINES, lambda e: e["k"] == 1), lambda e: F.struct(e["s"].alias("s"), e["i"].alias("i"), e["x"].alias("x"))))
@@ -60,7 +60,7 @@ def dedup_sections(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     rows = df.repartition(*keys).select(*keys, *rest, F.posexplode(F.split(col, r"\n(?=#{1,4}[^\S\n]+\S)", -1)).alias("block", "body"))
     headed = F.col("body").rlike(r"^#{1,4}[^\S\n]+\S")
     lines = F.slice(split_lines(F.col("body")), 2, 1 << 30)
-    size = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(T.strip(x)))
+    size = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(T.trim_line(x)))
     rows = rows.withColumn("head", F.when(headed, F.lower(T.strip(F.substring_index("body", "\n", 1)))))
     rows = rows.withColumn("head", F.coalesce("head", F.concat(F.lit("\x00"), F.col("block").cast("string"))))
     rows = rows.withColumn("size", size)
@@ -76,8 +76,10 @@ def validate_tables(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """
     rest = [c for c in df.columns if c != col and c not in keys]
     rows = df.select(*keys, *rest, F.posexplode(split_lines(F.col(col))).alias("pos", "line"))
-    s = T.strip(F.col("line"))
-    rows = rows.withColumns({"row": s.rlike(r"^\|.+\|$"), "sep": s.rlike(r"^[|][-\s:|]+[|]$"), "cols": T.count(F.col("line"), r"\|") - 1})
+    s = T.trim_line(F.col("line"))
+    # Lines of prose end at the first test, before any pattern.
+    bar = s.startswith("|")
+    rows = rows.withColumns({"row": bar & s.rlike(r"^\|.+\|$"), "sep": bar & s.rlike(r"^[|][-\s:|]+[|]$"), "cols": F.length("line") - F.length(F.replace("line", F.lit("|"), F.lit(""))) - 1})
     w = Window.partitionBy(*keys).orderBy("pos")
     ahead = F.first(F.when(F.col("sep"), F.col("cols")), ignorenulls=True).over(w.rowsBetween(1, 3))
     rows = rows.withColumns({"ahead": ahead, "run": F.sum((~F.col("row")).cast("int")).over(w)})
@@ -91,7 +93,8 @@ def validate_tables(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 def postprocess(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """The full cleaning chain, in its fixed order; one shuffle, by keys."""
-    df = df.withColumn(col, T.clean_latex(T.strip_html_comments(F.col(col))))
+    for step in (T.strip_html_comments, T.clean_latex_blocks, T.clean_latex_inline):
+        df = df.withColumn(col, step(F.col(col)))
     df = strip_exam_headers(df, col).withColumn(col, T.strip_think(F.col(col)))
     df = validate_tables(dedup_lines(dedup_sections(df, col, keys), col), col, keys)
     return df.withColumn(col, T.normalize_ws(F.col(col)))

@@ -65,3 +65,8 @@ def test_split_sections_stays_in_the_row(spark):
     docs = spark.createDataFrame([(1, "DIAGNOSIS AND TESTS\na")], "k int, t string")
     plan = L.split_sections(docs, "t", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_the_cleaning_chain_strips_comments_once(spark, sf):
+    plan = QUERIES["postprocess_run"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)<!--(") == 1
