@@ -143,3 +143,20 @@ def test_a_cut_draft_keeps_its_think_mark(spark):
     draft = "a /think\nabcdef"
     got = X.format_documents(spark.createDataFrame([(draft,), (draft + "g",)], "md string"), "md", M.format_stub, 500).collect()
     assert sorted(r.md for r in got) == ["a /think\na", draft + "g"]
+
+
+def test_answers_are_handed_on_call_by_call(spark):
+    """A worker doesn't gather a batch's answers: of 1000 rows those of a call or two are alive."""
+
+    class Answer(str):
+        alive = 0
+
+        def __init__(self, _):
+            Answer.alive += 1
+
+        def __del__(self):
+            Answer.alive -= 1
+
+    df = spark.range(1000).selectExpr("cast(id as string) t").coalesce(1)
+    got = M.run_model(df, "t", lambda texts: [Answer(str(Answer.alive)) for _ in texts], M.TEXT, "r").collect()
+    assert len(got) == 1000 and max(int(r.r.value) for r in got) < 3 * M.CALL
