@@ -160,3 +160,17 @@ def test_answers_are_handed_on_call_by_call(spark):
     df = spark.range(1000).selectExpr("cast(id as string) t").coalesce(1)
     got = M.run_model(df, "t", lambda texts: [Answer(str(Answer.alive)) for _ in texts], M.TEXT, "r").collect()
     assert len(got) == 1000 and max(int(r.r.value) for r in got) < 3 * M.CALL
+
+
+def test_scans_hold_no_file_whole(spark, tmp_path):
+    """Neither Spark's plan nor the worker has a file's content; a reader gets all of it in pieces, under any name."""
+    (tmp_path / "a é#1%20.pdf").write_bytes(bytes(3 << 20))
+
+    def reader(path, content):
+        pieces = [len(p) for p in content.pieces()]
+        return [{"page_num": len(pieces), "text": f"{sum(pieces)} {len(content)} {bytes(content) == bytes(sum(pieces))}"}]
+
+    df = Z.scan_documents(spark, str(tmp_path), "*.pdf", reader)
+    assert sorted((r.page_num, r.text, r.error) for r in df.collect()) == [(3, "3145728 3145728 True", None)]
+    assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.text for r in Z.scan_documents(spark, str(tmp_path), "a*.pdf", M.page_stub).collect()] == ["3145728 bytes"]
